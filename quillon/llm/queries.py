@@ -5,12 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, packing, sstable
+from quillon.llm import langid, lm, packing, sstable, toxicity
 from quillon.llm.common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    return toxicity.score(docs, toxicity.fit(docs, labels, ~held), held)
+
+
+def op6_lm_score(spark, sf_dir):
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    return lm.run(table(spark, sf_dir, "documents"), ~held, held)
+
+
 def op8_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -25,5 +36,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, 1)
 
 
-QUERIES = {f.__name__: f for f in (op8_langid, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_toxicity, op6_lm_score, op8_langid, op9_sstable, op10_packing)}
 SQL: dict[str, str] = {}
