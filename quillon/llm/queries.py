@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, lm, packing, sstable, toxicity
+from quillon.llm import langid, lm, packing, quality, secrets, sstable, toxicity
 from quillon.llm.common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_mod(F.col("doc_id"), 5) == 0
@@ -36,5 +44,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, 1)
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_lm_score, op8_langid, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_secrets, op5_toxicity, op6_lm_score, op8_langid, op9_sstable, op10_packing)}
 SQL: dict[str, str] = {}
