@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, lm, packing, quality, secrets, sstable, toxicity
+from quillon.llm import decontaminate, html_blocks, jaccard, langid, lm, packing, quality, secrets, sstable, toxicity
 from quillon.llm.common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,14 @@ def op1_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_html_text(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op6_lm_score(spark, sf_dir):
     return lm.run(table(spark, sf_dir, "documents"), ~held, held)
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -44,5 +56,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_secrets, op5_toxicity, op6_lm_score, op8_langid, op9_sstable, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_html_text, op4_secrets, op5_toxicity, op6_lm_score, op7_jaccard_join, op8_langid, op9_sstable, op10_packing)}
 SQL: dict[str, str] = {}
