@@ -286,3 +286,20 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return id_text(docs, id_col, text_col).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, OUT)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score at or above the threshold: judged in place, all columns stay."""
+    box, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from quillon.llm.tokens import chunks
+
+        for b in batches:
+            texts = [t or "" for t in b.column(place).to_pylist()]
+            for lo, hi in chunks(texts, 2_000_000):
+                yield b.slice(lo, hi - lo).filter(pa.array(box.value.score(texts[lo:hi]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
