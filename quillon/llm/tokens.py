@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
-import regex
 
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The pre-token pattern of byte-level BPE vocabularies and its letters and digits, spelt out
+#: for the characters that are not among ODD; and the bytes that stand for themselves in its words.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+PRETOKEN = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Texts with other characters go to the library whole, as character classes may differ there.
-ODD = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xffĀ-ſ]")
+ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff\u0100-\u017f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter for each byte: itself, or the next one from 256 on."""
+    other = iter(range(256, 512))
+    return {b: chr(b if b in PLAIN_BYTES else next(other)) for b in range(256)}
 
 
 class Encoder:
     """encode(texts) -> list of int arrays, equal to the library's encode(text, add_special_tokens=False).
 
-    Byte-level BPE treats each pre-token apart, so ids of a pre-token are kept (at most
-    `most` of them) and texts are put together from them. Vocabularies of another kind, texts with
-    unusual characters and texts with a special token's string take the plain way.
+    Byte-level BPE treats each pre-token apart, so the library encodes each different one once: ids are
+    kept for at most `most` of them (the oftenest stay when room is made) and texts are put together from
+    them. Vocabularies of another kind, texts with unusual characters and texts with a special token's
+    string take the plain way.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok, self.most, self.letters = Tokenizer.from_file(path), most, byte_letters()
+        self.words = Tokenizer(self.tok.model)  # the model alone, for words that are split and spelt already
+        self.watch = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         pre, norm = self.tok.pre_tokenizer, self.tok.normalizer
         self.fast = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and norm is None
-        self._clear()
-
-    def _clear(self) -> None:
         self.slot: defaultdict = defaultdict()
+        self.flat, self.start, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._make_room(0)
+
+    def _make_room(self, keep: int) -> None:
+        at = np.sort(np.argsort(-self.used, kind="stable")[:keep])
+        names = list(self.slot)
+        self.slot = defaultdict(None, {names[i]: n for n, i in enumerate(at)})
         self.slot.default_factory = self.slot.__len__
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = self._join(at)
+        self.size, self.used = self.size[at], self.used[at] // 2
+        self.start = np.cumsum(self.size) - self.size
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -42,19 +60,25 @@ class Encoder:
         if not self.fast:
             return self._plain(texts)
         if len(self.slot) > self.most:
-            self._clear()
-        odd = [bool(ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+            self._make_room(self.most // 4)
+        odd = [bool(ODD.search(t)) or any(x in t for x in self.watch) for t in texts]
         known, get = len(self.slot), self.slot.__getitem__
         which = [np.zeros(0, np.int64) if o else np.fromiter(map(get, PRETOKEN.findall(t)), np.int64) for t, o in zip(texts, odd)]
-        if fresh := list(self.slot)[known:]:
-            ids = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))])
-            self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        if len(self.slot) > known:
+            self._learn(list(islice(reversed(self.slot), len(self.slot) - known))[::-1])
+        if which:
+            self.used += np.bincount(np.concatenate(which), minlength=len(self.used))
         plain = iter(self._plain([t for t, o in zip(texts, odd) if o]) if any(odd) else [])
         return [next(plain) if o else self._join(w) for w, o in zip(which, odd)]
 
+    def _learn(self, fresh: list[str]) -> None:
+        spelt = "\0".join(fresh).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        ids = [e.ids for e in self.words.encode_batch_fast(spelt, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+        self.size, self.used = np.append(self.size, size), np.append(self.used, np.zeros(len(ids), np.int64))
+
     def _join(self, w: np.ndarray) -> np.ndarray:
         size = self.size[w]
         end = np.cumsum(size)
