@@ -3,7 +3,8 @@
 Test items are cut into entries of at most ENTRY words. Every passage of every training document (windows
 of twice that, at steps of ENTRY words, so any copy of an entry lies whole in one) is a query against the
 index. Impacts are divided by the entry's own best score, so one threshold holds for all; block-max WAND
-retrieves all entries at or above it. Each one retrieved is verified: of the question's and of the
+retrieves all entries at or above it. Passages that cannot reach it for any entry, as too few of the terms
+without which none can get there (the essential lists) stand in them, are passed over at once. Each one retrieved is verified: of the question's and of the
 answer's five-word shingles enough must stand in the passage.
 
 An item is a question and an answer if the table has both columns; of a single text, the last fifth of
@@ -29,6 +30,7 @@ from quillon.llm.common import id_text
 WORD = re.compile(r"\w+")
 ENTRY, SHINGLE, BLOCK = 64, 5, 16
 K1, B = 1.2, 0.75
+LEAST_THRESHOLD = 0.4  # thresholds below it are refused
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
 
 
@@ -66,9 +68,30 @@ class Index:
         self.impacts = [np.array([x for _, x in postings[t]]) for t in range(len(self.slot))]
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
         self.most = np.array([x.max() for x in self.impacts] or [0.0])
+        self._split()
         self.q_shingles = [set(shingles(q)) for _, q, _ in items]
         self.a_shingles = [set(shingles(a)) for _, _, a in items]
 
+    def _split(self, threshold_share: float = 0.5) -> None:
+        """Common terms are those, by falling frequency, that together give no entry over `threshold_share` of
+        any threshold; the others are essential: an entry cannot reach the threshold without them."""
+        common = np.zeros(len(self.entries))
+        self.essential = np.ones(len(self.lists), bool)
+        for t in sorted(range(len(self.lists)), key=lambda t: -len(self.lists[t])):
+            more = common[self.lists[t]] + self.impacts[t]
+            if len(self.lists[t]) > 1 and more.max() <= threshold_share * LEAST_THRESHOLD:
+                common[self.lists[t]] = more
+                self.essential[t] = False
+        self.common = common  # what the common terms can give each entry at most
+
+    def possible(self, terms: np.ndarray, threshold: float) -> bool:
+        """Whether some entry can reach the threshold: by its own essential terms and the most its common ones give."""
+        if not len(terms):
+            return False
+        entries = np.concatenate([self.lists[t] for t in terms])
+        got = np.bincount(entries, np.concatenate([self.impacts[t] for t in terms]), len(self.common))
+        return bool((got[entries] + self.common[entries] >= threshold - 1e-9).any())
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All entries with a score of at least threshold for the distinct terms: block-max WAND."""
         at = {int(t): 0 for t in terms}
@@ -124,17 +147,16 @@ class Index:
         if not len(ids) or not self.entries:
             return []
         best: dict[int, tuple] = {}
-        # a passage whose terms' best impacts stay below the threshold holds nothing: WAND's first bound, for all at once
-        sums = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, self.most[ids], 0.0))])
+        place = np.flatnonzero((ids >= 0) & self.essential[ids])
+        if not self.possible(np.unique(ids[place]), threshold):
+            return []
         starts = np.arange(0, max(1, len(ids) - ENTRY), ENTRY)
         ends = np.minimum(starts + 2 * ENTRY, len(ids))
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if sums[e] - sums[s] < threshold:
+        for s, e, i, j in zip(starts.tolist(), ends.tolist(), np.searchsorted(place, starts), np.searchsorted(place, ends)):
+            if not self.possible(np.unique(ids[place[i:j]]), threshold):
                 continue
             terms = np.unique(ids[s:e])
             terms = terms[terms >= 0]
-            if self.most[terms].sum() < threshold:
-                continue
             found = self.search(terms, threshold)
             for k, score in {self.entries[i][0]: x for i, x in sorted(found, key=lambda f: f[1])}.items():
                 # verified in the passage and its surroundings: an item of several entries spans passages
@@ -177,8 +199,14 @@ def parts_of(benchmark: DataFrame, id_col: str, text_col: str, most_words: int)
     return [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
+def check(threshold: float) -> None:
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"the threshold must be at least {LEAST_THRESHOLD}")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """One row for each document and test item it holds."""
+    check(threshold)
     rows, found = id_text(docs, id_col, text_col), None
     for part in parts_of(benchmark, item_col, item_text, most_words):
         box = docs.sparkSession.sparkContext.broadcast(Index(items_of(part.collect())))
@@ -203,6 +231,7 @@ def part_leaks(rows: DataFrame, box, threshold: float, overlap: float) -> DataFr
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """docs without the rows that hold a test item: judged in place, so no text is shuffled."""
+    check(threshold)
     kept = docs
     for part in parts_of(benchmark, "item_id", "text", most_words):
         box = docs.sparkSession.sparkContext.broadcast(Index(items_of(part.collect())))
