@@ -62,7 +62,8 @@ def predicted(df: DataFrame, schema: FuzzySchema, sets: dict, rules: list[Rule],
             c, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int32), np.zeros(0))
             return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(s)], ["cls", "score"])
 
-        got = F.arrow_udf(run, "struct<cls:int,score:double>", F.ArrowUDFType.SCALAR)(mu)
+        # a filter on the outcome must not be pushed below the function, which would run again for it
+        got = F.arrow_udf(run, "struct<cls:int,score:double>", F.ArrowUDFType.SCALAR).asNondeterministic()(mu)
     return df.withColumn("_got", got).withColumns({"prediction": F.col("_got.cls"), "score": F.col("_got.score")}).drop("_got")
 
 
@@ -99,7 +100,8 @@ def confusion(scored: DataFrame, schema: FuzzySchema) -> DataFrame:
     spark = scored.sparkSession
     pairs = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("real"), (F.col("id") % n).cast("int").alias("pred"))
     counts = scored.select(I.class_code(schema).alias("real"), F.col("prediction").alias("pred")).groupBy("real", "pred").agg(F.count("*").alias("n"))
-    return F.broadcast(pairs).join(counts, ["real", "pred"], "left").select("real", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    same = F.expr("p.real <=> c.real and p.pred <=> c.pred")
+    return F.broadcast(pairs.alias("p")).join(counts.alias("c"), same, "left").select("p.real", "p.pred", F.coalesce("c.n", F.lit(0)).alias("n"))
 
 
 def measures(matrix_rows: DataFrame, ignore_absent: bool = False) -> DataFrame:
