@@ -6,10 +6,12 @@ as a bounded sample sees it: the order steers only the cost, never the result).
 these columns names the pairs; pairs whose sizes rule out the threshold are discarded at once; for the
 rest the overlap is counted over all columns and compared exactly.
 
-The product is taken in two passes, so that no group's pairs are all written out. First each column
-joins its rows to one leader; the links found give components. Then only columns that hold
-rows of different components are multiplied, and only across components. What is left out lies within
-a component already, so the components are those of all links.
+The product is taken in two passes, so that no group's pairs are all written out. First each row goes, in
+each of a few turns, to one block: rows that share a column, as many as a task can take. A block's product is
+counted over all its columns within the task, which hands on fewer edges than the block has rows. Then the columns
+that still hold rows of different components are multiplied, but only across components and across blocks.
+What is left out has been counted in a block or lies within a component already, so the components are those of
+all links.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; with fewer
 words than n, the whole sequence is the one n-gram; repeated rows are equal documents; rows whose id is
@@ -18,14 +20,16 @@ null come back with a null component and link with nothing; an empty table gives
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod, cut, id_text, keep_ids
+from quillon.llm.common import crc_mod, cut, id_text
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -121,17 +125,31 @@ def documents_rows(rows: DataFrame, n: int, percent: int, common: tuple) -> Data
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, first array<long>")
 
 
-def whole_rows(rows: DataFrame, n: int) -> DataFrame:
-    """set_id and all columns of each document."""
+def whole_sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """ids (node and more) with the nodes' whole sets: their documents are read again.
+
+    A document that is repeated brings its set again; another text under the same id is left out.
+    """
+    met = cut(ids.join(nodes.select("node", "set_id", F.col("rep").alias("doc_id")), "node"), "join-met")
+    few = met.limit(2_000_001).count() <= 2_000_000
+    names = ids.columns
+    found = rows.join(F.broadcast(met) if few else met.hint("shuffle_merge"), "doc_id").select("text", "set_id", *names)
 
     def run(batches):
         import pyarrow as pa
 
-        for _, sets in batches_of(batches, Shingler(n)):
+        for b, sets in batches_of(batches, Shingler(n)):
+            own = [xxhash.xxh3_128_digest(s.tobytes()) == i for s, i in zip(sets, b.column(1).to_pylist())]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["set_id", "columns"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], lists], [*names, "columns"]).filter(pa.array(own, pa.bool_()))
+
+    return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in ids.dtypes) + ", columns array<long>")
 
-    return rows.mapInArrow(run, "set_id binary, columns array<long>")
+
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -157,48 +175,131 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted over all columns, reaches the threshold."""
+def least_overlap(na, nb, percent: int):
+    """The overlap at which two sets of these sizes reach the threshold."""
+    return F.ceil(percent * (na + nb) / (100 + percent))
+
+
+def could_link(shared, na, nb, percent: int):
+    """Whether a pair with so many of its first columns in common may reach the threshold.
+
+    Beyond the first columns of the row whose list ends earlier, nothing is known, so all the rest of that
+    row may be shared, and no more. Both ends are allowed for; sizes too far apart fail at once.
+    """
+    rest = lambda n: F.ceil(percent * n / 100) - 1
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (shared + F.greatest(rest(na), rest(nb)) >= least_overlap(na, nb, percent))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose overlap, counted over all columns, reaches the threshold."""
+    sets = cut(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, n), "join-sets")
     left = sets.select(F.col("node").alias("a"), F.col("columns").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("columns").alias("cb"))
     both = F.size(F.array_intersect("ca", "cb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ca") + F.size("cb") - both)).select("a", "b")
+    return cut(pairs.join(left, "a").join(right, "b").where(both >= least_overlap(F.size("ca"), F.size("cb"), percent)).select("a", "b").distinct(), "join-links")
+
+
+def overlaps(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """The block's sparse product: how many columns each two of its rows share.
+
+    Columns in many rows are multiplied as dense slabs, the others add 1 for each of their pairs.
+    """
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    row, starts = row[np.argsort(column, kind="stable")], np.cumsum(df) - df
+    many = max(2, m // 8)
+    dense = np.flatnonzero(df >= many)
+    for k in range(0, len(dense), wide):
+        slab = np.zeros((m, len(dense[k : k + wide])), np.float32)
+        for j, c in enumerate(dense[k : k + wide]):
+            slab[row[starts[c] : starts[c] + df[c]], j] = 1
+        out += slab @ slab.T
+    for d in np.unique(df[(df > 1) & (df < many)]).tolist():
+        own, step = starts[df == d], max(1, 4_000_000 // (d * d))
+        for k in range(0, len(own), step):
+            at = row[own[k : k + step, None] + np.arange(d)]
+            out += np.bincount((at[:, :, None] * m + at[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+    return out
+
+
+def block_links(table, percent: int):
+    """(a, b) that join the rows of a block that its links connect: fewer than it has rows."""
+    import pyarrow as pa
+
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    sets = [s.values.to_numpy() for s in table.column("columns").take(pa.array(first))]
+    both, size = overlaps(sets), np.array([len(s) for s in sets], float)
+    linked = (100 + percent) * both >= percent * (size[:, None] + size[None, :])
+    root, left = np.full(len(nodes), -1), np.ones(len(nodes), bool)
+    for i in np.argsort(nodes):
+        front = np.array([i]) if left[i] else np.zeros(0, np.int64)
+        while len(front):
+            root[front], left[front] = i, False
+            front = np.flatnonzero(linked[front].any(axis=0) & left)
+    other = root != np.arange(len(nodes))
+    return pa.table({"a": pa.array(nodes[root[other]]), "b": pa.array(nodes[other])})
+
+
+def choose_blocks(posts: DataFrame, comps: DataFrame | None, earlier: DataFrame | None, rows_a_block: int = 2048, columns_a_block: int = 2_000_000, least: int = 32) -> DataFrame:
+    """node, h, part: each row goes to the fullest of its columns that hold different components.
+
+    Blocks are split by a hash of the row so that each fits a task, however many rows share the column.
+    """
+    told = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else posts.withColumn("comp", F.col("node"))
+    told = told.join(earlier, ["node", "h"], "left_anti") if earlier is not None else told
+    full = told.groupBy("h").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo < hi and rows >= {least}")
+    full = cut(full.select("h", "rows", F.greatest(F.ceil(F.col("rows") / rows_a_block), F.ceil(F.col("size") / columns_a_block)).alias("parts")), "join-full")
+    best = posts.join(full, "h")
+    best = (best.join(earlier, ["node", "h"], "left_anti") if earlier is not None else best).groupBy("node").agg(F.max(F.struct("rows", "h", "parts")).alias("best"))
+    return cut(best.select("node", F.col("best.h").alias("h"), F.pmod(F.xxhash64("node", "best.h"), F.col("best.parts")).alias("part")), "join-blocks")
+
+
+def block_product(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what the links within each block connect."""
+    sets = whole_sets(blocks, nodes, rows, n)
+    return cut(sets.groupBy("h", "part").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "join-edges")
 
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows = id_text(docs, id_col, text_col)
     per_doc = cut(documents_rows(rows, n, percent, common_columns(rows, n, sample, most_common)), "join-docs")
     filled = per_doc.where("n_shingles > 0 and doc_id is not null")
     # one node for each different set
     nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
-    firsts = filled.select("set_id", "doc_id", "first")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    # the columns of one row of each set: the row with the least id, once
-    lists = firsts.join(nodes.select("set_id", F.col("rep").alias("doc_id"), "node", "n"), ["set_id", "doc_id"]).groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    posts = cut(lists.select("node", "n", F.explode("first").alias("h")), "join-posts")
-    led = cut(posts.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("n", "node")).alias("lead")).where("rows > 1"), "join-led")
-    posts = cut(posts.join(led, "h").select("h", "node", "n", "rows", "lead"), "join-shared")
-    close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes leave the threshold open
-    star = posts.where((F.col("node") != F.col("lead.node")) & close(F.col("n"), F.col("lead.n"))).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    star = cut(star, "join-star")
-    # the whole sets of rows that share a column with another
-    met = posts.select("node").distinct().join(nodes.select("node", "set_id", "rep"), "node")
-    ids = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
-    whole = whole_rows(keep_ids(rows, ids), n).groupBy("set_id").agg(F.first("columns").alias("columns"))
-    sets = cut(whole.join(met.select("node", "set_id"), "set_id").select("node", "columns"), "join-sets")
-    links = cut(verified(star, sets, percent), "join-links")
-    comps = components(links, "join-comps")
-    # columns that hold different components, multiplied across components only
-    told = posts.where("rows > 2").join(comps, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # the columns of one row of each set: a row with the least id, once
+    own = filled.select("set_id", "doc_id", "first").join(nodes.select("set_id", F.col("rep").alias("doc_id"), "node", "n"), ["set_id", "doc_id"])
+    lists = cut(own.dropDuplicates(["node"]).select("node", "n", "first"), "join-lists")
+    posts = lists.select("node", "n", F.explode("first").alias("h"))
+    led = cut(posts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "join-led")
+    posts = cut(posts.join(led, "h"), "join-shared")
+    release(docs.sparkSession)
+    # first pass: blocks of rows of one column, turn by turn
+    comps, edges, blocks = None, None, []
+    for _ in range(turns):
+        earlier = [b.select("node", "h") for b in blocks]
+        blocks.append(choose_blocks(posts, comps, reduce(DataFrame.unionByName, earlier) if earlier else None))
+        found = block_product(blocks[-1], nodes, rows, n, percent)
+        edges = found if edges is None else edges.unionByName(found)
+        comps = cut(components(edges, "join-comps"), "join-linked")
+        release(docs.sparkSession)
+    # second pass: columns that hold different components, multiplied across components and blocks only
+    told = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    for i, b in enumerate(blocks):
+        told = told.join(b.select("node", F.struct("h", "part").alias(f"block{i}")), "node", "left")
     told = cut(told, "join-told")
     mixed = told.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     told = cut(told.join(mixed, "h", "left_semi"), "join-mixed")
     x, y = told.alias("x"), told.alias("y")
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & close(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verified(cut(across, "join-across"), sets, percent), "join-more")
-    comps = cut(components(links.unionByName(more), "join-comps"), "join-final")
+    apart = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    for i in range(len(blocks)):
+        apart = apart & F.coalesce(F.col(f"x.block{i}") != F.col(f"y.block{i}"), F.lit(True))
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
+    across = cut(across.where(could_link(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "join-across")
+    comps = cut(components(edges.unionByName(verified(across, nodes, rows, n, percent)), "join-comps"), "join-final")
     # from nodes to ids: the least id of a component, then of each set
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
