@@ -1,0 +1,406 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, html_blocks, jaccard, langid, lm, packing, quality, queries, secrets, sstable, tokens, toxicity
+from quillon.llm.common import crc_mod
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = queries.VOCABULARY
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double, h long"
+LONG = " ".join(f"word{i % 997}" for i in range(30_000))
+TEXTS = [None, "", " \n\t", "one", "a b c", "same text here again now", "same text here again now", "x" * 5000, LONG, "a  b\n\nc\x1fd é 日本 <|endoftext|>", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, ties, repeated rows, a very long text and columns with clashing names."""
+    rows = [(i, t, "en" if i % 2 else None, None, None, 1, None, 2) for i, t in enumerate(TEXTS)]
+    rows += [rows[5], (None, "no id at all", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).coalesce(2).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def base_quality(t):
+    w = words(t)
+    c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {i + k for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(inside), len(w) < 10 or 100 * len(inside) > 20 * len(w)
+
+
+def test_quality_counts(spark, docs, odd, none):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for d in (docs, odd):
+        want = sorted(((r["doc_id"], *base_quality(r["text"])) for r in d.collect()), key=str)
+        got = quality.judge(d, labels).collect()
+        assert sorted((tuple(r)[:7] for r in got), key=str) == want
+        assert not any(r["base_failed"] and r["kept"] for r in got)
+    assert quality.judge(none, labels).count() == 0
+    assert quality.judge(docs, labels.limit(0)).where(F.col("kept") == F.col("base_failed")).count() == 0
+
+
+def test_binomial_tail(spark):
+    cases = [(k, n, p) for n in (1, 20, 500) for k in (0, 1, 7, n) for p in (0.01, 0.2) if k <= n]
+    for k, n, p in cases:
+        got = spark.range(1).select(quality.binomial_tail(F.lit(float(k)), F.lit(float(n)), p)).first()[0]
+        want = 1.0 if k > n * p else sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_cutoffs_keep_the_risk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "s", 100, False, float(rng.random() if bad else rng.random() * 0.3), 0.0, 0.0, 0.0, 5.0) for i in range(4000) for bad in [i % 10 == 0]]
+    feats = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, base_failed boolean, symbol_share double, dup_line_share double, repeat_share double, upper_share double, long_words double")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)], "doc_id long, quality int")
+    r = quality.cutoffs(feats, labels).first()
+    assert 0.3 <= r["cut_symbol_share"] <= 0.8
+    lost = sum(x[4] >= r["cut_symbol_share"] for x in rows if x[0] % 10)
+    assert lost <= 0.05 * 3600
+
+
+def base_secrets(t):
+    t = t or ""
+    kinds = ([m for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6], [m for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20], [m for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+    own = sorted((m.start(), k, m.end()) for k, ms in enumerate(kinds) for m in ms)
+    return (*map(len, kinds), hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in own).encode()).hexdigest())
+
+
+PIECES = st.lists(st.sampled_from(["token", "API_KEY", "apikey", "=", ": ", '"', "'", " ", "AKIA", "ABCD1234EFGH5678IJKL", "0123456789abcdef", "é", "日", "x", "\n", "secret"]), max_size=14).map("".join)
+
+
+@settings(max_examples=5, deadline=None)
+@given(texts=st.lists(PIECES, min_size=1, max_size=40))
+def test_secrets_against_plain_search(spark, texts):
+    got = {r["doc_id"]: tuple(r)[1:4] + (r["base_sha256"],) for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: base_secrets(t) for i, t in enumerate(texts)}
+
+
+def test_secrets_find_random_runs_and_leave_words(spark, docs, odd, none):
+    rng = np.random.default_rng(0)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    keys = ["".join(rng.choice(alphabet, 64)) for _ in range(20)]
+    rows = [(i, f"some words {k} and more") for i, k in enumerate(keys)] + [(100 + i, "some_long_path/with/words/in/it/and/letters_that/are/common") for i in range(20)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i]["n_random"] for i in range(20)) >= 15 and not any(got[100 + i]["n_random"] for i in range(20))
+    assert sorted(tuple(r)[1:4] + (r["base_sha256"],) for r in secrets.scan(odd).collect()) == sorted(base_secrets(r["text"]) for r in odd.collect())
+    assert secrets.scan(none).count() == 0
+    masked = secrets.redact(odd)
+    assert masked.columns == odd.columns and masked.count() == odd.count()
+    assert masked.where("doc_id = 10").first()["text"] == '[SECRET]"' and masked.where("doc_id = 3").first()["text"] == "one"
+
+
+def test_battery_p_values(spark):
+    got = spark.createDataFrame([("0123456789abcdef" * 4,), ("a" * 40,)], "t string").select(secrets.battery(F.col("t")).alias("b")).select("b.*").collect()
+    assert got[0]["encoding"] == 1 and got[0]["log_chi"] > math.log(0.9)  # perfectly even
+    assert got[0]["log_serial"] < math.log(0.01)  # but rising all the time
+    assert got[1]["log_chi"] < -50 and got[1]["log_text"] > math.log(0.5)
+
+
+def test_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(VOCABULARY), tokens.Encoder(VOCABULARY, most=50)
+    rng = np.random.default_rng(2)
+    parts = ["a", "b's", "don't", "é", "x1", "12", " ", "  ", "\n", "\t", ".", "!!", "_", "²", "\xad", "ª", "日", " a", "<|endoftext|>", "\x1f"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 15)))) for _ in range(600)] + [t or "" for t in TEXTS]
+    for i in range(0, len(texts), 100):
+        for t, got in zip(texts[i : i + 100], own.encode(texts[i : i + 100])):
+            assert got.tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def expected_ids(df, end):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(VOCABULARY)
+    return sorted(((r["doc_id"], tok.encode(r["text"] or "", add_special_tokens=False).ids + [end]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_sstable_round_trip(docs, odd, none):
+    for d in (docs, odd):
+        want = expected_ids(d, 0)
+        got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sstable.round_trip(d, VOCABULARY).collect())
+        assert [g[1] for g in got] == [w[0] for w in want]
+        assert [g[0] for g in got] == np.cumsum([0] + [g[2] for g in got])[:-1].tolist()
+        assert Counter(g[1:] for g in got) == Counter((i, len(t), crc(t)) for i, t in want)
+    assert sstable.round_trip(none, VOCABULARY).count() == 0
+
+
+def test_sstable_lookup(tmp_path):
+    rng = np.random.default_rng(1)
+    held = {int(i): rng.integers(0, 90_000, int(rng.integers(0, 50))) for i in np.unique(rng.integers(-500, 5000, 900))}
+    with open(tmp_path / "s", "wb") as f:
+        w = sstable.Writer(f, block_bytes=500)
+        for i in sorted(held):
+            w.add(i, held[i])
+        said = w.close()
+    assert said["n_docs"] == len(held) and said["n_bytes"] == (tmp_path / "s").stat().st_size
+    with open(tmp_path / "s", "rb") as f:
+        r = sstable.Reader(f, said["n_bytes"])
+        assert len(r.index) > 10
+        for i in range(-510, 5010, 7):
+            got = r.lookup(i)
+            assert (len(got) == 1 and got[0].tolist() == held[i].tolist()) if i in held else got == []
+
+
+def test_packing(docs, odd, none):
+    for d in (docs, odd):
+        want = expected_ids(d, 1)
+        got = packing.pack_documents(d, VOCABULARY).collect()
+        assert Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == Counter((i, len(t)) for i, t in want)
+        assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got) == Counter((i, s, len(t[s : s + 2048]), crc(t[s : s + 2048])) for i, t in want for s in range(0, len(t), 2048))
+        by = defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in by.values():
+            at = 0
+            for o, n in sorted(own):
+                assert o == at
+                at += n
+            assert at <= 2048
+        if d is docs:
+            assert len(by) <= 1.06 * -(-sum(r["length"] for r in got) // 2048)
+    assert packing.pack_documents(none, VOCABULARY).count() == 0
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=32))
+def test_cutting_stock_covers_all(counts):
+    plan = packing.solve(np.array(counts), 32)
+    assert np.array_equal(sum((t * p for t, p in plan), np.zeros(len(counts), np.int64)), counts)
+    assert all((p * np.arange(1, len(counts) + 1)).sum() <= 32 for _, p in plan)
+    units = sum(c * (i + 1) for i, c in enumerate(counts))
+    assert sum(t for t, _ in plan) <= units / 32 * 1.25 + max(2, sum(c > 0 for c in counts))
+
+
+def components_of(d, n=4, percent=85):
+    sets = defaultdict(set)
+    for r in d.collect():
+        w = (r["text"] or "").encode().lower().split()
+        k = min(n, len(w))
+        sets[r["doc_id"], r["text"]] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else frozenset()
+    keys, root = list(sets), {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if both and None not in (a[0], b[0]) and 100 * both >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k in keys:
+        if k[0] is not None:
+            least[find(k)] = min(least.get(find(k), k[0]), k[0])
+    return {k: (len(sets[k]), least.get(find(k))) for k in keys}
+
+
+def check_components(d):
+    want = components_of(d)
+    got = Counter(tuple(r) for r in jaccard.join(d).collect())
+    assert got == Counter((r["doc_id"], *want[r["doc_id"], r["text"]]) for r in d.collect())
+
+
+def near_copies(rng, groups, size, words_each, edits):
+    vocabulary, out = [f"w{i}" for i in range(400)], []
+    for _ in range(groups):
+        base = rng.choice(vocabulary, words_each).tolist()
+        for _ in range(size):
+            own = list(base)
+            for k in rng.integers(0, words_each, int(rng.integers(0, edits + 1))):
+                own[k] = f"e{rng.integers(0, 10**6)}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_jaccard_join(spark, docs, odd, none):
+    check_components(docs)
+    check_components(odd)
+    assert jaccard.join(none).count() == 0
+
+
+def test_jaccard_join_on_large_groups_of_near_copies(spark):
+    texts = near_copies(np.random.default_rng(5), 2, 90, 150, 5) + ["short"] * 3 + near_copies(np.random.default_rng(6), 20, 3, 12, 1)
+    check_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
+def test_first_of_each(spark, odd):
+    kept = jaccard.first_of_each(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10] and None in ids
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    chain = [(i, i + 1) for i in range(60)] + [tuple(map(int, rng.integers(100, 160, 2))) for _ in range(40)] + [(200, i) for i in range(150, 190)]
+    root = {i: i for e in chain for i in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in chain:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["comp"] for r in jaccard.components(spark.createDataFrame(chain, "a long, b long"), "test").collect()}
+    assert got == {i: find(i) for e in chain if e[0] != e[1] for i in e}
+
+
+def test_wand_finds_what_full_scoring_finds():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"t{i}" for i in range(60)] + [f"rare{i}" for i in range(400)]
+    weights = np.array([1 / (i + 1) for i in range(len(vocabulary))])
+    draw = lambda n: rng.choice(vocabulary, n, p=weights / weights.sum()).tolist()
+    index = decontaminate.Index([(i, draw(int(rng.integers(3, 40))), draw(3)) for i in range(120)])
+    for _ in range(60):
+        query = draw(30) + (index.entries[int(rng.integers(0, 120))][1] if rng.random() < 0.6 else [])
+        terms = np.unique([index.slot[w] for w in query if w in index.slot])
+        full = np.zeros(len(index.entries))
+        for t in terms:
+            full[index.lists[t]] += index.impacts[t]
+        for threshold in (0.4, 0.6, 0.9):
+            got = dict(index.search(terms, threshold))
+            want = np.flatnonzero(full >= threshold - 1e-12)
+            assert sorted(got) == want.tolist() and all(got[e] == pytest.approx(full[e]) for e in got)
+            if len(want):
+                assert index.possible(terms[index.essential[terms]], threshold)
+
+
+def test_decontamination_against_brute_force(spark, docs, odd, none):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items = {r["item_id"]: grams(decontaminate.words_of(r["text"])) for r in bench.collect()}
+    want = {(r["doc_id"], i) for r in docs.collect() for i, g in items.items() if len(g & grams(decontaminate.words_of(r["text"]))) >= 0.8 * len(g)}
+    for most in (2_000_000, 200):  # one part, and several
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench, most_words=most).collect()} == want
+    assert want and decontaminate.find(none, bench).count() == decontaminate.find(docs, bench.limit(0)).count() == decontaminate.find(odd, bench).count() == 0
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in want}
+    assert decontaminate.drop_leaks(odd, bench).count() == odd.count()
+    with pytest.raises(ValueError):
+        decontaminate.find(docs, bench, threshold=0.1)
+
+
+def test_html_blocks_reads_broken_markup():
+    read = lambda h: [b[0] for b in html_blocks.blocks(h)]
+    assert read(None) == read("") == read("<p>") == read("<script>x") == []
+    assert read('<p>a &amp; b<br>c <b>d</b>e</p><p>f') == ["a & b c de", "f"]
+    assert read('<script>var t="</p>";</script><div title="a > b">x</div><!-- <p>no --><p>y') == ["x", "y"]
+    assert read("a < b <i>c</i>") == ["a < b c"] and read("<ul><li>one<li>two</ul>") == ["one", "two"]
+
+
+def test_html_labeller_on_unseen_pages(spark):
+    model, grammar = html_blocks.trained(), html_blocks.Grammar(77)
+    pages = [g for g in (grammar.labelled() for _ in range(150)) if g[0]]
+    hit = [(model.logits(html_blocks.Batch([p])) >= 0) == np.array(y, bool) for p, y in pages]
+    assert np.concatenate(hit).mean() > 0.985
+    rows = spark.createDataFrame([(1, "u", "<body><nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>T</h1><p>Some text\n here.</p></article><footer>&copy; x</footer>", 9), (2, None, None, 9), (2, None, "", 9)], "page_id long, url string, html string, text int")
+    got = html_blocks.extract(rows, model=model).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "T Some text here.", 17), (2, None, "", 0), (2, None, "", 0)]
+    assert html_blocks.extract(rows.limit(0), model=model).count() == 0
+
+
+def test_toxicity_held_out(spark, odd, none):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels, ~held, most_each=400)
+    got = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model, held).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    pos, neg = (np.array([r["score"] for r in got if r["toxic"] == k]) for k in (1, 0))
+    assert (pos[:, None] > neg[None, :]).mean() > 0.8 and (neg >= 0.5).mean() < 0.03
+    s = toxicity.score(odd, model, F.lit(False)).collect()
+    assert len(s) == odd.count() and all(0 <= r["score"] <= 1 for r in s) and s[0]["score"] == 0
+    assert toxicity.score(none, model, F.lit(False)).count() == 0
+    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+    empty = toxicity.fit(docs, labels.limit(0), ~held)
+    assert toxicity.score(odd, empty, F.lit(False)).where("score > 0").count() == 0
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(0)
+    u = rng.normal(0, 0.5, (toxicity.HID, 3 * toxicity.HID))
+    g, w = rng.normal(0, 1, (4, 3, 3 * toxicity.HID)), rng.normal(0, 1, (4, 3, toxicity.HID))
+    loss = lambda g, u: float((toxicity.gru(g, u)[0].astype(float) * w).sum())
+    dg, du = toxicity.gru_back(w.astype(np.float32), toxicity.gru(g, u)[1], u)
+    for a, d in ((g, dg), (u, du)):
+        for _ in range(5):
+            i = tuple(rng.integers(0, s) for s in a.shape)
+            e = np.zeros_like(a)
+            e[i] = 1e-2
+            n = (loss(g + e, u) - loss(g - e, u)) / 2e-2 if a is g else (loss(g, u + e) - loss(g, u - e)) / 2e-2
+            assert d[i] == pytest.approx(n, rel=0.03, abs=3e-3)
+
+
+def test_language_model(spark, docs, odd, none):
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    got = {r["doc_id"]: r for r in lm.run(docs, ~held, held, most_top=300).collect()}
+    rows = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in docs.collect()}
+    out = {i for i in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    c = Counter(t for i, ts in rows.items() if i not in out for t in ts)
+    n, v = sum(c.values()), len(c)
+    for i, ts in rows.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in out, len(ts), sum(c[t] > 0 for t in ts), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), rel=1e-6)
+    assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
+    assert lm.run(odd, held, ~held).count() == odd.count() and lm.run(none, held, ~held).count() == 0
+    assert all(r["score"] <= 0 for r in lm.run(odd, F.lit(False), F.lit(True)).collect())
+
+
+def test_language_model_is_a_distribution():
+    c = Counter({b"a": 50, b"b": 30, b"": 10, b"c": 5, b"rare": 2})
+    s = lm.Scorer(c.most_common(), sum(c.values()), len(c))
+    s.net.train([s.for_net(s.ids([b"a", b"b", b"a"])) for _ in range(200)])
+    h = s.net.states(np.zeros((1, lm.HID), np.float32), np.array([[lm.END]]))[0]
+    total = np.exp(s.net.log_prob(np.repeat(h, s.words, axis=0), np.arange(s.words))).sum()
+    assert total == pytest.approx(1, abs=1e-5)
+    docs = [s.for_net(s.ids([b"a"] * k)) for k in (1, 70, 200, 3)]
+    assert s.net.score(docs) == pytest.approx([s.net.score([d])[0] for d in docs], abs=1e-3)
+
+
+def test_language_held_out(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    dicts = langid.fit(docs, ~held)
+    got = langid.predict(docs, dicts, held).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got > 0.96
+    rows = langid.predict(odd, dicts, F.lit(True)).collect()
+    assert len(rows) == odd.count() and all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", t["text"] or "")) for r, t in zip(rows, odd.collect()))
+    assert langid.predict(none, dicts, F.lit(True)).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(odd, {}, F.lit(True)).collect()} == {"und"}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from quillon.llm.common import shared_dir
+
+    assert shared_dir(spark).startswith("file:///")
