@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, html_blocks, jaccard, langid, lm, packing, quality, secrets, sstable, toxicity
 from quillon.llm.common import crc_mod, table
+from quillon.llm.sql import SQL  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,4 +58,3 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_html_text, op4_secrets, op5_toxicity, op6_lm_score, op7_jaccard_join, op8_langid, op9_sstable, op10_packing)}
-SQL: dict[str, str] = {}
