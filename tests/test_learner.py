@@ -136,7 +136,9 @@ def test_command_line(spark, data, model, tmp_path):
     (tmp_path / "c").write_text("max_attributes = 3\nmin_crisp_confidence = 0.7\nmin_fuzzy_confidence = 0.6\nevolutionary = false\ninference = wr\nweight_method = pcf\n")
     t = str(tmp_path)
     main(["run", "--config", f"{t}/c", "--header", f"{t}/h", "--train", f"{t}/d", "--test", f"{t}/d", "--model", f"{t}/m"], spark)
-    assert FuzzyRuleModel.load(spark, f"{t}/m").rules == model.rules
+    again = FuzzyRuleModel.load(spark, f"{t}/m").rules
+    assert [(r.items, r.cls) for r in again] == [(r.items, r.cls) for r in model.rules]
+    assert [r.weight for r in again] == pytest.approx([r.weight for r in model.rules])  # sums come in any order
     assert "Accuracy" in files.read_text(spark, f"{t}/m/test/accuracy")
 
 
