@@ -57,3 +57,17 @@ def keep_ids(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFram
     """Rows of docs whose doc_id is in ids: by broadcast if at most `most` ids, else by a shuffle."""
     few = ids.limit(most + 1).count() <= most
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "doc_id", "left_semi")
+
+
+def commonest(counts: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows with the greatest `by`: all from the least step of a log scale on that leaves at most `most`.
+
+    A sorted limit would send the driver that many rows from every task; this sends about a thousand steps' totals.
+    """
+    step = F.floor(F.log2(F.col(by).cast("double")) * 16).cast("int")
+    left, least = most, None
+    for r in counts.where(F.col(by) > 0).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    return counts.where((F.col(by) > 0) & (step >= least)) if least is not None else counts.limit(0)
