@@ -42,7 +42,7 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = (data[:-2] * 961 + data[1:-1] * 31 + data[2:]) * np.uint32(2654435761) >> np.uint32(20)
     ok = np.ones(len(data), bool)
     ok[end - 1] = ok[end - 2] = False
-    return h[ok[:-2]].astype(np.int64), np.concatenate([[0], np.cumsum(size - 2)[:-1]])
+    return h[ok[:-2]].astype(np.int32), np.concatenate([[0], np.cumsum(size - 2)[:-1]])
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +60,11 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for d, ids in enumerate(docs):
         if len(ids):
             n = 1 + max(0, -(-(len(ids) - WIDTH) // STRIDE))
-            flat = np.zeros((n - 1) * STRIDE + WIDTH, np.int64)
+            flat = np.zeros((n - 1) * STRIDE + WIDTH, np.int32)
             flat[: len(ids)] = ids
             own.append(np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[::STRIDE])
             of.append(np.full(n, d))
-    return (np.concatenate(own), np.concatenate(of)) if own else (np.zeros((0, WIDTH), np.int64), np.zeros(0, np.int64))
+    return (np.concatenate(own), np.concatenate(of)) if own else (np.zeros((0, WIDTH), np.int32), np.zeros(0, np.int64))
 
 
 @dataclass
@@ -89,14 +89,17 @@ class Model:
         if slot:
             table = self.table(list(slot))
             wins, of = windows(docs)
-            for i in range(0, len(wins), 4096):
-                logit = forward(self.p, table, wins[i : i + 4096])[0]
-                np.maximum.at(out, of[i : i + 4096], sigmoid(logit.astype(np.float64)))
+            for i in range(0, len(wins), 2048):
+                logit = forward(self.p, table, wins[i : i + 2048])[0]
+                np.maximum.at(out, of[i : i + 2048], sigmoid(logit.astype(np.float64)))
         return out
 
 
 def project(p, ids, grams, starts, odds):
-    sums = np.add.reduceat(p["grams"][grams], starts, axis=0)
+    sums = np.empty((len(starts), DIM), np.float32)
+    for i in range(0, len(starts), 20_000):
+        end = starts[i + 20_000] if i + 20_000 < len(starts) else len(grams)
+        sums[i : i + 20_000] = np.add.reduceat(p["grams"][grams[starts[i] : end]], starts[i : i + 20_000] - starts[i], axis=0)
     count = np.diff(np.append(starts, len(grams)))[:, None]
     x = np.concatenate([p["words"][ids], sums / count, odds[:, None]], axis=1).astype(np.float32)
     table = np.empty((len(ids) + 1, 6 * HID), np.float32)
@@ -106,7 +109,7 @@ def project(p, ids, grams, starts, odds):
     return table, x
 
 
-def gru(g, u):
+def gru(g, u, back: bool = True):
     """g: steps x rows x 3*HID gate inputs -> states, and what the way back needs."""
     steps, rows, _ = g.shape
     h = np.zeros((rows, HID), np.float32)
@@ -116,7 +119,8 @@ def gru(g, u):
         zr = sigmoid(g[t, :, : 2 * HID] + hu[:, : 2 * HID])
         z, r, m = zr[:, :HID], zr[:, HID:], hu[:, 2 * HID :]
         n = np.tanh(g[t, :, 2 * HID :] + r * m)
-        keep.append((h, z, r, m, n))
+        if back:
+            keep.append((h, z, r, m, n))
         h = n + z * (h - n)
         states[t] = h
     return states, keep
@@ -138,10 +142,10 @@ def gru_back(d, keep, u):
     return dg, du
 
 
-def forward(p, table, wins):
+def forward(p, table, wins, back: bool = False):
     g = table[wins.T]
-    a, ka = gru(g[:, :, : 3 * HID], p["uf"])
-    b, kb = gru(g[::-1, :, 3 * HID :], p["ub"])
+    a, ka = gru(g[:, :, : 3 * HID], p["uf"], back)
+    b, kb = gru(g[::-1, :, 3 * HID :], p["ub"], back)
     s = np.concatenate([a, b[::-1]], axis=2)
     e = np.where(wins.T == 0, -1e9, s @ p["att"])
     w = np.exp(e - e.max(axis=0))
@@ -190,15 +194,15 @@ def train(texts: list[str], toxic: list[int], steps: int = 250, rate: float = 0.
     free = 0.5 * min(1.0, len(docs) / 2000)  # few documents must not be learned by heart
     epochs = int(min(16, max(10, -(-steps * 256 // (len(has) + n_neg)))))
     for epoch in range(epochs):
-        tables = [project(p, ids, grams, starts, o) for o in loo]
+        tables = [project(p, ids, grams, starts, o)[0] for o in loo]
         if epoch:
             scores = np.empty(len(wins), np.float32)
-            for i in range(0, len(wins), 8192):
-                part = slice(i, i + 8192)
+            for i in range(0, len(wins), 1024):
+                part = slice(i, i + 1024)
                 for k in (0, 1):
                     at = np.flatnonzero(y[of[part]] == k) + i
                     if len(at):
-                        scores[at] = forward(p, tables[k][0], wins[at])[0]
+                        scores[at] = forward(p, tables[k], wins[at])[0]
         else:
             lift = [np.append(np.float32(-9), o) for o in loo]
             scores = np.where(y[of] == 1, lift[1][wins].max(axis=1), lift[0][wins].max(axis=1))
@@ -224,7 +228,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 250, rate: float = 0.
                 at_gram = np.repeat(starts[w] - (np.cumsum(n_grams) - n_grams), n_grams) + np.arange(n_grams.sum())
                 own_grams, own_starts = grams[at_gram], np.cumsum(n_grams) - n_grams
                 table, x = project(p, ids[w], own_grams, own_starts, loo[k][w])
-                logit, (s, a, pooled, ka, kb) = forward(p, table, inv)
+                logit, (s, a, pooled, ka, kb) = forward(p, table, inv, True)
                 d = (sigmoid(logit) - k).astype(np.float32) / len(take)
                 g = {"b": np.array([d.sum()], np.float32), "out": d @ pooled}
                 dp = d[:, None] * p["out"]
@@ -253,7 +257,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 250, rate: float = 0.
     return Model(float(y.mean()), p, {w: float(o) for w, o in zip(vocab, odds) if abs(o) > 0.05})
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 1500, most_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 1000, most_chars: int = 20_000) -> Model:
     """Train on the (at most) `most_each` toxic and `most_each` clean labelled documents of lowest hash
     among those of up to `most_chars` characters. A document counts as toxic if any of its labels does."""
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
