@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod, cut, id_text
+from quillon.llm.common import commonest, crc_mod, cut, id_text
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -37,7 +37,7 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 class Shingler:
     """Sorted distinct 64-bit hashes of the n-grams of lower-cased (A-Z) words."""
 
-    def __init__(self, n: int, most: int = 500_000):
+    def __init__(self, n: int, most: int = 200_000):
         self.n, self.most = n, most
         self._clear()
 
@@ -91,7 +91,8 @@ def common_columns(rows: DataFrame, n: int, sample: int, most: int) -> tuple[np.
         for _, sets in batches_of(batches, Shingler(n)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    seen = picked.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(most).collect()
+    seen = cut(picked.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 3"), "join-common")
+    seen = commonest(seen, "count", most).collect()
     h = np.array([r.h for r in seen], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r["count"] for r in seen], np.int64)[order]

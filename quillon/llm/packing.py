@@ -43,6 +43,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 1, most: int = 204
                     got = np.append(got, end_id).astype("<u4")
                     rows += [(doc_id, s, min(most, len(got) - s), zlib.crc32(got[s : s + most].tobytes()), len(got)) for s in range(0, len(got), most)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in PIECES.split(", ")])
+        enc.rest()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 

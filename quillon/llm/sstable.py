@@ -200,6 +200,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
             for lo, hi in chunks(texts):
                 for doc_id, got in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
                     writer.add(doc_id, np.append(got, end_id))
+        enc.rest()
         if writer:
             made = writer.close()
             sink.close()

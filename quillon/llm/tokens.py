@@ -53,6 +53,11 @@ class Encoder:
         self.size, self.used = self.size[at], self.used[at] // 2
         self.start = np.cumsum(self.size) - self.size
 
+    def rest(self) -> None:
+        """Between tasks only the oftenest quarter stays in memory."""
+        if len(self.slot) > self.most // 4:
+            self._make_room(self.most // 4)
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
