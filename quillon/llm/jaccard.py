@@ -324,7 +324,7 @@ def with_component(per_doc: DataFrame, named: DataFrame, parts: int = 10_000) ->
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that another row of their component replaces: the least id stays, once."""
     found = join(docs, n, percent, id_col, text_col)
     gone = cut(found.where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")

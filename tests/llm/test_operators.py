@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import decontaminate, html_blocks, jaccard, langid, lm, packing, quality, queries, secrets, sstable, tokens, toxicity
 from quillon.llm.common import crc_mod
 
@@ -259,6 +260,27 @@ def test_first_of_each(spark, odd):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10] and None in ids
 
 
+def copies_around_the_limit():
+    """Pairs of 5-word similarity around 0.8: text added at the end, or one word changed."""
+    rng, out = np.random.default_rng(12), []
+    draw = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    for size in range(100, 130, 3):
+        base = draw(100)
+        out += [base, base + draw(size - 100)]
+    for size in range(40, 56):
+        base = draw(size)
+        out += [base, base[: size // 2] + draw(1) + base[size // 2 + 1 :]]
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_stage_against_five_word_sets(spark):
+    d = spark.createDataFrame(list(enumerate(copies_around_the_limit())), "doc_id long, text string").repartition(3)
+    want = {i for (i, _), (_, c) in components_of(d, 5, 80).items() if c == i}
+    narrow = {i for (i, _), (_, c) in components_of(d, 4, 85).items() if c == i}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, d, SF).collect()} == want
+    assert {r["doc_id"] for r in jaccard.first_of_each(d).collect()} == want and want < narrow
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     chain = [(i, i + 1) for i in range(60)] + [tuple(map(int, rng.integers(100, 160, 2))) for _ in range(40)] + [(200, i) for i in range(150, 190)]
