@@ -28,6 +28,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillon.llm.common import commonest, crc_mod, cut, id_text
 
@@ -265,6 +266,11 @@ def block_product(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, n: int,
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    return linked(docs, n, percent, id_col, text_col, sample, most_common, turns).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2) -> DataFrame:
+    """join() with each row's set_id and whether its set is the one that stays of its component."""
     rows = id_text(docs, id_col, text_col)
     per_doc = cut(documents_rows(rows, n, percent, common_columns(rows, n, sample, most_common)), "join-docs")
     filled = per_doc.where("n_shingles > 0 and doc_id is not null")
@@ -303,8 +309,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     comps = cut(components(edges.unionByName(verified(across, nodes, rows, n, percent)), "join-comps"), "join-final")
     # from nodes to ids: the least id of a component, then of each set
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = cut(ids.join(least, "comp").select("set_id", "component_id", "copies"), "join-named")
+    least = ids.groupBy("comp").agg(F.min(F.struct("rep", "set_id")).alias("least"))
+    own = F.struct(F.col("least.rep").alias("component_id"), (F.col("least.set_id") == F.col("set_id")).alias("stays"))
+    named = cut(ids.join(least, "comp").select("set_id", own.alias("own"), "copies"), "join-named")
     return with_component(per_doc, named)
 
 
@@ -312,27 +319,57 @@ def with_component(per_doc: DataFrame, named: DataFrame, parts: int = 10_000) ->
     """Sets held by more than one in `parts` documents, so fewer than `parts` sets, are sent to every task;
     the others meet their documents in a join without hot keys."""
     hot = per_doc.count() // parts
-    common = F.broadcast(named.where(F.col("copies") > hot).select("set_id", F.col("component_id").alias("hot_id"))) if hot else None
+    common = F.broadcast(named.where(F.col("copies") > hot).select("set_id", F.col("own").alias("hot"))) if hot else None
     rows = per_doc.select("doc_id", "n_shingles", "set_id")
-    rows = rows.join(common, "set_id", "left") if hot else rows.withColumn("hot_id", F.lit(None).cast("long"))
-    key = F.when(F.col("hot_id").isNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))
+    rows = rows.join(common, "set_id", "left") if hot else rows.withColumn("hot", F.lit(None).cast(named.schema["own"].dataType))
+    key = F.when(F.col("hot").isNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))
     rare = named.where(F.col("copies") <= hot) if hot else named
     # rows that need no partner carry a key of their own, so they are spread evenly
     rows = rows.withColumn("key", F.coalesce(key, F.xxhash64("doc_id").cast("string").cast("binary")))
-    rows = rows.join(rare.select(F.col("set_id").alias("key"), "component_id"), "key", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("hot_id", "component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    rows = rows.join(rare.select(F.col("set_id").alias("key"), "own"), "key", "left").withColumn("own", F.coalesce("hot", "own"))
+    own = F.when(F.col("n_shingles") > 0, F.col("own.component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "set_id", F.coalesce("own.stays", F.lit(True)).alias("stays"))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that another row of their component replaces: the least id stays, once."""
-    found = join(docs, n, percent, id_col, text_col)
-    gone = cut(found.where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone.hint("shuffle_merge"), docs[id_col] == gone["_gone"], "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = cut(repeated, "join-repeated")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated.withColumnRenamed("doc_id", "_twice"), kept[id_col] == F.col("_twice"), "left_anti")
-    twice = kept.join(repeated.withColumnRenamed("doc_id", "_twice"), kept[id_col] == F.col("_twice"), "left_semi")
-    return single.unionByName(twice.dropDuplicates([id_col]))
+    """docs without the rows that another row of their component replaces: of the least id's rows one stays.
+
+    A row is judged by its own text: rows of one id whose texts do not link all stay, as do rows without words.
+    """
+    found = cut(linked(docs, n, percent, id_col, text_col), "join-found")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    twice = cut(twice, "join-repeated")
+    gone = found.where("component_id <> doc_id or not stays")
+    if twice.isEmpty():
+        return without(docs, gone.select(F.col("doc_id").alias("_gone")), docs[id_col] == F.col("_gone"))
+    gone = cut(gone.join(twice, F.col("doc_id") == F.col("_twice"), "left").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_gone_set"), "_twice").distinct(), "join-gone")
+    once = docs.join(twice, docs[id_col] == F.col("_twice"), "left_anti")
+    once = without(once, gone.where("_twice is null").select("_gone"), F.col(id_col) == F.col("_gone"))
+    rows = with_set(docs.join(twice, docs[id_col] == F.col("_twice"), "left_semi"), n, text_col)
+    rows = without(rows, gone.where("_twice is not null").select("_gone", "_gone_set"), (F.col(id_col) == F.col("_gone")) & (F.col("_set") == F.col("_gone_set")))
+    full = rows.where("_set is not null").dropDuplicates([id_col, "_set"])
+    return once.unionByName(full.drop("_set")).unionByName(rows.where("_set is null").drop("_set"))
+
+
+def without(docs: DataFrame, gone: DataFrame, on) -> DataFrame:
+    gone = cut(gone, "join-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone.hint("shuffle_merge"), on, "left_anti")
+
+
+def with_set(docs: DataFrame, n: int, text_col: str) -> DataFrame:
+    """docs with the 128 bits of each row's set as _set, null if it is empty."""
+    place, names = docs.columns.index(text_col), [*docs.columns, "_set"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        from quillon.llm.tokens import chunks
+
+        shingler = Shingler(n)
+        for b in batches:
+            texts = [t or "" for t in b.column(place).to_pylist()]
+            for lo, hi in chunks(texts, 2_000_000):
+                own = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingler.sets(texts[lo:hi])]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(own, pa.binary())], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))

@@ -281,6 +281,19 @@ def test_near_copies_stage_against_five_word_sets(spark):
     assert {r["doc_id"] for r in jaccard.first_of_each(d).collect()} == want and want < narrow
 
 
+def test_first_of_each_judges_rows_not_ids(spark):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(30))
+    near = text(0) + " and more"
+    rows = [(1, text(0)), (2, near), (2, text(1)), (2, text(2)), (2, text(2)), (3, None), (3, ""), (4, text(2)), (5, text(3)), (5, text(3) + " end"), (None, text(3))]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, more string").repartition(3)
+    kept = jaccard.first_of_each(d)
+    assert kept.columns == d.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    five = [k for k in got if k[0] == 5]
+    assert len(five) == 1 and got.pop(five[0]) == 1
+    assert got == Counter([(1, text(0)), (2, text(1)), (2, text(2)), (3, None), (3, ""), (None, text(3))])
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     chain = [(i, i + 1) for i in range(60)] + [tuple(map(int, rng.integers(100, 160, 2))) for _ in range(40)] + [(200, i) for i in range(150, 190)]
