@@ -7,8 +7,8 @@ retrieves all entries at or above it. Passages that cannot reach it for any entr
 without which none can get there (the essential lists) stand in them, are passed over at once. Each one retrieved is verified: of the question's and of the
 answer's five-word shingles enough must stand in the passage.
 
-An item is a question and an answer if the table has both columns; of a single text, the last fifth of
-the words counts as the answer. The index is as large as the benchmark: one of up to `most_words` words
+An item is a question and an answer if the table has both columns. Of a single text, the last fifth of
+the words is reported as the answer, but as that is only assumed, the whole text's shingles decide. The index is as large as the benchmark: one of up to `most_words` words
 is sent to every task; a larger one is taken in parts of that size, each over all documents.
 
 Defined cases: documents and items that are null or without words match nothing; items of under five
@@ -47,9 +47,9 @@ class Index:
     """Postings by term, in blocks of BLOCK entries with the block's greatest impact."""
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]]):
-        self.items = items  # (item id, question words, answer words)
+        self.items = items  # (item id, question words, answer words, whether they are but assumed parts of one text)
         self.entries = []  # (item number, words)
-        for k, (_, q, a) in enumerate(items):
+        for k, (_, q, a, *_) in enumerate(items):
             words = q + a
             parts = max(1, -(-len(words) // ENTRY))
             size = -(-len(words) // parts) if words else 0
@@ -69,8 +69,9 @@ class Index:
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
         self.most = np.array([x.max() for x in self.impacts] or [0.0])
         self._split()
-        self.q_shingles = [set(shingles(q)) for _, q, _ in items]
-        self.a_shingles = [set(shingles(a)) for _, _, a in items]
+        self.q_shingles = [set(shingles(q)) for _, q, *_ in items]
+        self.a_shingles = [set(shingles(a)) for _, _, a, *_ in items]
+        self.whole = [set(shingles(q + a)) if any(one) else None for _, q, a, *one in items]
 
     def _split(self, threshold_share: float = 0.5) -> None:
         """Common terms are those, by falling frequency, that together give no entry over `threshold_share` of
@@ -165,7 +166,8 @@ class Index:
                 there = set(shingles(words[lo:hi])) if long >= SHINGLE else {tuple(words[i : i + n]) for n in {len(self.items[k][1]), len(self.items[k][2])} for i in range(lo, hi - n + 1)}
                 share = lambda own: len(own & there) / len(own) if own else 1.0
                 q, a = share(self._in(self.q_shingles[k], long)), share(self._in(self.a_shingles[k], long))
-                if min(q, a) >= overlap and (k not in best or score > best[k][0]):
+                enough = min(q, a) if self.whole[k] is None else share(self._in(self.whole[k], long))
+                if enough >= overlap and (k not in best or score > best[k][0]):
                     best[k] = (score, q, a, s, e)
         return [(self.items[k][0], *x) for k, x in sorted(best.items())]
 
@@ -175,17 +177,18 @@ class Index:
         return own if long < SHINGLE else {x for x in own if len(x) == SHINGLE}
 
 
-def items_of(rows, answer_share: float = 0.2) -> list[tuple[int, list[str], list[str]]]:
+def items_of(rows, answer_share: float = 0.2) -> list[tuple[int, list[str], list[str], bool]]:
     out = []
     for r in rows:
-        if r["question"] is not None or r["answer"] is not None:
+        one = r["question"] is None and r["answer"] is None
+        if not one:
             q, a = words_of(r["question"]), words_of(r["answer"])
         else:
             words = words_of(r["text"])
             cut = len(words) - max(int(len(words) * answer_share), SHINGLE) if len(words) >= 3 * SHINGLE else len(words)
             q, a = words[:cut], words[cut:]
         if q or a:
-            out.append((r["item_id"], q, a))
+            out.append((r["item_id"], q, a, one))
     return out
 
 

@@ -331,6 +331,17 @@ def test_wand_finds_what_full_scoring_finds():
                 assert index.possible(terms[index.essential[terms]], threshold)
 
 
+def test_lightly_edited_item_is_found():
+    words = [f"q{i}" for i in range(37)]
+    item = {"item_id": 1, "question": None, "answer": None, "text": " ".join(words)}
+    edited = ["x"] * 20 + words[:33] + ["other"] + words[34:] + ["y"] * 20
+    index = decontaminate.Index(decontaminate.items_of([item]))
+    assert [x[0] for x in index.leaks(edited, 0.6, 0.8)] == [1]
+    assert not index.leaks(words[:20], 0.4, 0.8)
+    parts = dict(item, question=" ".join(words[:30]), answer=" ".join(words[30:]))
+    assert not decontaminate.Index(decontaminate.items_of([parts])).leaks(edited, 0.6, 0.8)
+
+
 def test_decontamination_against_brute_force(spark, docs, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
