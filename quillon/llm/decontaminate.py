@@ -9,7 +9,8 @@ answer's five-word shingles enough must stand in the passage.
 
 An item is a question and an answer if the table has both columns. Of a single text, the last fifth of
 the words is reported as the answer, but as that is only assumed, the whole text's shingles decide. The index is as large as the benchmark: one of up to `most_words` words
-is sent to every task; a larger one is taken in parts of that size, each over all documents.
+is sent to every task; a larger one is taken in parts of that size, each over all documents and with the
+whole benchmark's document frequencies, number of entries and mean length, so scores are those of one index.
 
 Defined cases: documents and items that are null or without words match nothing; items of under five
 words are one shingle; equal items are all reported; a repeated document is reported as often; an empty
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_text
+from quillon.llm.common import cut, id_text
 
 WORD = re.compile(r"\w+")
 ENTRY, SHINGLE, BLOCK = 64, 5, 16
@@ -43,20 +45,27 @@ def shingles(words: list[str]) -> list[tuple]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
 
 
+def entries_of(words: list[str]) -> list[list[str]]:
+    parts = max(1, -(-len(words) // ENTRY))
+    size = -(-len(words) // parts) if words else 0
+    return [words[i : i + size] for i in range(0, len(words), size or 1)]
+
+
 class Index:
-    """Postings by term, in blocks of BLOCK entries with the block's greatest impact."""
+    """Postings by term, in blocks of BLOCK entries with the block's greatest impact.
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
+    `stats` (number of entries, their words, document frequency by term) is that of all parts, if items are one part.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], stats: tuple | None = None):
         self.items = items  # (item id, question words, answer words, whether they are but assumed parts of one text)
         self.entries = []  # (item number, words)
         for k, (_, q, a, *_) in enumerate(items):
-            words = q + a
-            parts = max(1, -(-len(words) // ENTRY))
-            size = -(-len(words) // parts) if words else 0
-            self.entries += [(k, words[i : i + size]) for i in range(0, len(words), size or 1)]
-        n = len(self.entries)
-        df = Counter(w for _, words in self.entries for w in set(words))
-        mean = sum(len(w) for _, w in self.entries) / n if n else 1.0
+            self.entries += [(k, words) for words in entries_of(q + a)]
+        if stats is None:
+            stats = len(self.entries), sum(len(w) for _, w in self.entries), Counter(w for _, words in self.entries for w in set(words))
+        n, total, df = stats
+        mean = total / n if n else 1.0
         self.slot, postings = {}, defaultdict(list)
         for e, (_, words) in enumerate(self.entries):
             tf, norm = Counter(words), K1 * (1 - B + B * len(words) / mean)
@@ -202,6 +211,34 @@ def parts_of(benchmark: DataFrame, id_col: str, text_col: str, most_words: int)
     return [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
+def term_counts(rows: DataFrame) -> DataFrame:
+    """term, entries it stands in; under the null term, the number of entries and of their words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            entries = [e for _, q, a, _ in items_of(b.to_pylist()) for e in entries_of(q + a)]
+            df = Counter(w for e in entries for w in set(e))
+            yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.string()), pa.array([*df.values(), len(entries)], pa.int64()), pa.array([*[0] * len(df), sum(map(len, entries))], pa.int64())], ["term", "df", "words"])
+
+    return rows.mapInArrow(run, "term string, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
+def indexes(benchmark: DataFrame, id_col: str, text_col: str, most_words: int):
+    """An index for each part of the benchmark, one at a time."""
+    parts = parts_of(benchmark, id_col, text_col, most_words)
+    if len(parts) == 1:
+        yield Index(items_of(parts[0].collect()))
+        return
+    whole = cut(term_counts(reduce(DataFrame.unionByName, parts)), "leaks-terms")
+    n, total = whole.where("term is null").select("df", "words").first() or (0, 0)
+    for part in parts:
+        # only the counts of the part's own terms reach the driver
+        own = whole.join(term_counts(part).select("term"), "term", "left_semi").select("term", "df").toLocalIterator()
+        yield Index(items_of(part.collect()), (n, total, {r.term: r.df for r in own}))
+
+
 def check(threshold: float) -> None:
     if threshold < LEAST_THRESHOLD:
         raise ValueError(f"the threshold must be at least {LEAST_THRESHOLD}")
@@ -211,8 +248,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap:
     """One row for each document and test item it holds."""
     check(threshold)
     rows, found = id_text(docs, id_col, text_col), None
-    for part in parts_of(benchmark, item_col, item_text, most_words):
-        box = docs.sparkSession.sparkContext.broadcast(Index(items_of(part.collect())))
+    for index in indexes(benchmark, item_col, item_text, most_words):
+        box = docs.sparkSession.sparkContext.broadcast(index)
         found = part_leaks(rows, box, threshold, overlap) if found is None else found.unionByName(part_leaks(rows, box, threshold, overlap))
     return found
 
@@ -236,8 +273,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     """docs without the rows that hold a test item: judged in place, so no text is shuffled."""
     check(threshold)
     kept = docs
-    for part in parts_of(benchmark, "item_id", "text", most_words):
-        box = docs.sparkSession.sparkContext.broadcast(Index(items_of(part.collect())))
+    for index in indexes(benchmark, "item_id", "text", most_words):
+        box = docs.sparkSession.sparkContext.broadcast(index)
         place = docs.columns.index(text_col)
 
         def run(batches, box=box):
