@@ -342,9 +342,10 @@ def test_lightly_edited_item_is_found():
     assert not decontaminate.Index(decontaminate.items_of([parts])).leaks(edited, 0.6, 0.8)
 
 
-def test_scores_do_not_depend_on_the_parts_of_the_index(spark, docs):
+def test_scores_do_not_depend_on_the_parts_of_the_index(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert len(decontaminate.parts_of(bench, "item_id", "text", 100)) > 1
+    docs = bench.select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", r"\W*\w+\W*$", "").alias("text"))  # whole copies score 1 anyhow
     one, many = [sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(docs, bench, most_words=m).collect()) for m in (2_000_000, 100)]
     assert [x[:2] for x in one] == [x[:2] for x in many] and np.allclose([x[2] for x in one], [x[2] for x in many], rtol=1e-12) and one
 
