@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +35,57 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting, for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors lose none of it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lost executors lose none of it.
+
+    The shuffle files of the write go as soon as it is done.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark's own bound of an Arrow batch, and the one that is set where a session has left it.
+BATCH, BATCH_HERE = "67108864b", "4m"
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Spark keeps a task's Python worker for tasks of other operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def through(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of a few MB, however long the texts, and with nothing held after a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, BATCH) == BATCH:
+        df.sparkSession.conf.set(key, BATCH_HERE)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -49,14 +98,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **m
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[c.alias(n) for n, c in more.items()])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free(df: DataFrame, name: str) -> str:
+    """name, or name_ and so on: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Rows of docs whose doc_id is in ids: by broadcast if at most `most` ids, else by a shuffle."""
-    few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "doc_id", "left_semi")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def commonest(counts: DataFrame, by: str, most: int) -> DataFrame:

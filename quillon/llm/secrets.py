@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_text
+from quillon.llm.common import free, id_text
 
 # The three patterns of the contract.
 KEYS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -39,6 +39,7 @@ ENCODINGS = (
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.05, 0.004),
 )
 BLOCK, BINS_A_DECADE, MOST_BIN = 128, 20, 6000
+PART = 1024  # code points
 
 
 def let(value: Column, use) -> Column:
@@ -46,15 +47,18 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def before(sizes: Column) -> Column:
-    """Sum of the entries before each entry, in about len * BLOCK steps."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("int")
-    n = F.size(sizes)
+def before(values: Column, use=None, zero: int = 0) -> Column:
+    """The sum (or the fold by `use`) of the entries before each entry, in about len * BLOCK steps.
+
+    values should be a column or a value of let(): it is looked at again and again.
+    """
+    add = lambda a, x: use(a, x) if use else a + x
+    zero, n = F.lit(zero).cast("int"), F.size(values)
     upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(upto(F.ceil(n / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+    blocks = F.transform(upto(F.ceil(n / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
     starts = let(blocks, lambda s: F.transform(upto(F.size(s)), lambda b: F.aggregate(F.slice(s, F.lit(1), b), zero, add)))
-    return let(starts, lambda s: F.transform(upto(n), lambda i: F.get(s, F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(sizes, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), zero, add)))
+    own = lambda s, i: add(F.get(s, F.floor(i / BLOCK).cast("int")), F.aggregate(F.slice(values, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), zero, add))
+    return let(starts, lambda s: F.transform(upto(n), lambda i: own(s, i)))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -64,10 +68,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     def build(x):
         gaps = F.transform(F.split(x, pattern, -1), lambda p: F.length(p))
         hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-        parts = F.regexp_extract_all(x, F.lit(pattern), F.lit(group)) if group else hits
-        sizes = F.transform(hits, lambda h: F.length(h))
+        return let(gaps, lambda g: let(hits, lambda h: placed(g, h, F.regexp_extract_all(x, F.lit(pattern), F.lit(group)) if group else h)))
+
+    def placed(gaps, hits, parts):
         at = F.zip_with(before(gaps), gaps, lambda a, g: a + g)  # gaps up to and with each one
-        rows = F.arrays_zip(F.slice(at, F.lit(1), F.size(hits)).alias("gap"), before(sizes).alias("had"), hits.alias("hit"), parts.alias("part"))
+        had = let(F.transform(hits, lambda h: F.length(h)), lambda v: before(v))
+        rows = F.arrays_zip(F.slice(at, F.lit(1), F.size(hits)).alias("gap"), had.alias("had"), hits.alias("hit"), parts.alias("part"))
         return F.transform(rows, lambda r: F.struct((r["gap"] + r["had"]).alias("start"), (r["gap"] + r["had"] + F.length(r["hit"])).alias("end"), r["hit"].alias("hit"), r["part"].alias("part")))
 
     return F.when(text.rlike(pattern), build(text)).otherwise(F.array().cast(kind))
@@ -196,10 +202,23 @@ def all_spans(text: Column, base: Column, threshold: tuple[float, float]) -> Col
             p = F.floor(F.least(-t["log_text"] / math.log(10) * BINS_A_DECADE, F.lit(float(MOST_BIN)))) + F.log10(capped(t["n"]) / mean) * BINS_A_DECADE
             return looks_random(t) & (F.floor(p) >= round(-most * BINS_A_DECADE))
 
-        return let(battery(m["hit"]), test) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+        return let(battery(m["hit"]), test)
 
     more = F.transform(F.filter(matches(text, TOKEN), found), lambda m: span(m, 3))
-    return F.array_sort(F.concat(base, more))
+    return let(more, lambda r: F.when(F.size(r) == 0, base).otherwise(let(F.array_sort(F.concat(base, r)), apart)))
+
+
+def apart(spans: Column) -> Column:
+    """Sorted spans without those of the method that overlap a base span.
+
+    A span overlaps one that begins no later if the greatest end so far lies behind its start, else the next one.
+    """
+    late, is_base = 2**31 - 1, lambda s: s["kind"] < 3
+    ends = let(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), lambda v: before(v, F.greatest))
+    starts = let(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(late))), lambda v: F.reverse(before(v, F.least, late)))
+    told = F.arrays_zip(spans.alias("span"), ends.alias("had"), starts.alias("next"))
+    clear = lambda x: is_base(x["span"]) | ((x["had"] <= x["span"]["start"]) & (x["next"] >= x["span"]["end"]))
+    return F.transform(F.filter(told, clear), lambda x: x["span"])
 
 
 def joined(spans: Column) -> Column:
@@ -207,27 +226,47 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, threshold: tuple[float, float], text_col: str = "text") -> DataFrame:
-    """docs plus _base and _spans: a projection, so nothing is shuffled or stored."""
+def with_spans(docs: DataFrame, threshold: tuple[float, float], text_col: str, base: str, spans: str) -> DataFrame:
+    """docs plus the two columns of spans: a projection, so nothing is shuffled or stored."""
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.withColumn("_base", base_spans(t)).withColumn("_spans", all_spans(t, F.col("_base"), threshold))
+    return docs.withColumn(base, base_spans(t)).withColumn(spans, all_spans(t, F.col(f"`{base}`"), threshold))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.05) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for every row."""
-    rows = with_spans(id_text(docs, id_col, text_col), false_discovery_threshold(docs, text_col, share))
-    n = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return rows.select("doc_id", *[n(k) for k in range(4)], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    rows = with_spans(id_text(docs, id_col, text_col), false_discovery_threshold(docs, text_col, share), "text", "base", "found")
+    n = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return rows.select("doc_id", *[n(k) for k in range(4)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", share: float = 0.05) -> DataFrame:
-    """docs with every span's text replaced by the mark (overlapping spans by one); the columns stay."""
-    threshold = false_discovery_threshold(docs, text_col, share)
-    text = F.col(f"`{text_col}`")
+def between(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text that is given in parts of PART code points: only the parts in question are read."""
 
-    def step(a, s):
-        own = F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["start"] >= a["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(own.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def piece(c):
+        lo = F.greatest(a - c * PART, F.lit(0))
+        return F.substr(F.get(parts, c), lo + 1, F.least(b - c * PART, F.lit(PART)) - lo)
 
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    return with_spans(docs, threshold, text_col).withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_base", "_spans")
+    at = lambda x: F.floor(x / PART).cast("int")
+    return F.when(b > a, F.array_join(F.transform(F.sequence(at(a), F.greatest(at(a), at(b - 1))), piece), "")).otherwise("")
+
+
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """text with a mark for each run of overlapping spans, in time in proportion to the text and the spans."""
+
+    def build(parts, had):
+        told = F.arrays_zip(spans.alias("span"), had.alias("had"))
+        # a span that begins within an earlier one has no text before it and no mark of its own
+        out = F.transform(told, lambda x: F.when(x["span"]["start"] >= x["had"], F.concat(between(parts, x["had"], x["span"]["start"]), F.lit(mark))).otherwise(""))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(out, ""), between(parts, end, F.length(text)))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    return let(parts, lambda p: let(let(F.transform(spans, lambda s: s["end"]), lambda v: before(v, F.greatest)), lambda had: build(p, had)))
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", share: float = 0.05) -> DataFrame:
+    """docs with every span's text replaced by the mark (overlapping spans by one); the columns stay, whatever their names."""
+    threshold = false_discovery_threshold(docs, text_col, share)
+    base, spans, text = free(docs, "_base"), free(docs, "_spans"), F.col(f"`{text_col}`")
+    told = with_spans(docs, threshold, text_col, base, spans)
+    return told.withColumn(text_col, F.when(F.size(spans) > 0, masked(text, F.col(spans), mark)).otherwise(text)).drop(base, spans)
