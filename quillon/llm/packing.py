@@ -8,10 +8,10 @@ are rounded down, the few rests left over are put by best fit into further patte
 documents within their length are dealt to the patterns' places.
 
 Histogram, program and patterns are bounded by sequence length / unit, whatever the input.
-Documents, pieces and ranks stay distributed: ranks are taken in salted parts of a length.
+Documents, pieces and ranks stay distributed: ranks are taken in parts of a length, the more the oftener it stands.
 
-Defined cases: null texts are empty documents, just the end id; repeated rows are packed each; an
-empty table gives no rows; ids that are null are kept.
+Defined cases: null texts are empty documents, just the end id; very long texts are encoded whole and cut into
+as many pieces as they need; repeated rows are packed each; an empty table gives no rows; ids that are null are kept; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, id_text
+from quillon.llm.common import cut, id_text, through
 from quillon.llm.tokens import chunks, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -45,7 +45,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 1, most: int = 204
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in PIECES.split(", ")])
         enc.rest()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return through(id_text(docs, id_col, text_col), run, PIECES)
 
 
 def price(duals: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -113,7 +113,6 @@ def solve(counts: np.ndarray, size: int, most_rounds: int = 4000, slack: float =
             wide[there] = p
             used.append((times, wide))
     # what is left over: largest first into the fullest bin that takes it
-    bins: list[tuple[int, np.ndarray]] = []
     by_room: dict[int, list[int]] = {}
     rooms, inside = [], []
     for i in range(m - 1, -1, -1):
@@ -129,58 +128,66 @@ def solve(counts: np.ndarray, size: int, most_rounds: int = 4000, slack: float =
             inside[at][there[i]] += 1
             rooms[at] = room - s
             by_room.setdefault(rooms[at], []).append(at)
-    return used + [(1, p) for p in inside] + bins
-
-
-def pack(pieces: DataFrame, most: int = 2048, unit: int = 4, salts: int = 64) -> DataFrame:
-    """pieces plus sequence_id and offset. pieces should be a written table: it is read twice."""
-    spark = pieces.sparkSession
-    size = most // unit
-    bucket = F.ceil(F.col("length") / unit).cast("int")
-    rows = pieces.withColumns({"bucket": bucket, "salt": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")})
-    parts = rows.groupBy("bucket", "salt").count().collect()  # at most size * salts rows
-    table = np.zeros((size, salts), np.int64)
-    for r in parts:
-        table[r.bucket - 1, r.salt] = r["count"]
-    before = (np.cumsum(table, axis=1) - table).tolist()
-    plan = solve(table.sum(axis=1), size)
+    return used + [(1, p) for p in inside]
+
+
+def pack(pieces: DataFrame, most: int = 2048, unit: int = 4, rows_a_group: int = 20_000) -> DataFrame:
+    """pieces plus sequence_id and offset. pieces should be a written table: it is read three times.
+
+    The ranks within a length are taken in groups of about rows_a_group rows, as many as the length's count asks for. A column `spread`
+    of pieces, if there is one, deals them to the groups, else a hash of the row.
+    """
+    spark, size = pieces.sparkSession, most // unit
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    rows = pieces.withColumn("bucket", F.ceil(F.col("length") / unit).cast("int"))
+    counts = np.zeros(size, np.int64)
+    for r in rows.groupBy("bucket").count().collect():  # at most size rows
+        counts[r["bucket"] - 1] = r["count"]
+    groups = np.maximum(1, -(-counts // rows_a_group))
+    spread = F.col("spread") if "spread" in pieces.columns else F.xxhash64("doc_id", "start", "ids_crc32")
+    rows = rows.withColumn("salt", F.pmod(spread, F.get(F.lit(groups), F.col("bucket") - 1)))
+    before = [np.zeros(n + 1, np.int64) for n in groups]
+    for r in rows.groupBy("bucket", "salt").count().toLocalIterator():  # size + rows / rows_a_group rows
+        before[r["bucket"] - 1][r["salt"] + 1] = r["count"]
+    before = [np.cumsum(b) for b in before]
     # places of each bucket: (first rank, first sequence, how many of it in the pattern, first slot)
-    places: dict[int, list] = {b: [] for b in range(size)}
+    places: list[list] = [[] for _ in range(size)]
     ranks, sequence = [0] * size, 0
-    for times, p in plan:
+    for times, p in solve(counts, size):
         slot = 0
         for b in np.flatnonzero(p)[::-1].tolist():
             places[b].append((ranks[b], sequence, int(p[b]), slot))
             ranks[b] += times * int(p[b])
             slot += int(p[b])
         sequence += times
-    box = spark.sparkContext.broadcast((before, places))
-    local = Window.partitionBy("bucket", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(local) - 1).drop("salt_")
+    box = spark.sparkContext.broadcast((before, [np.array(p, np.int64).reshape(-1, 4) for p in places]))
 
     def deal(batches):
         import pyarrow as pa
 
         before, places = box.value
-        starts = {b: np.array([x[0] for x in p], np.int64) for b, p in places.items() if p}
-        tables = {b: np.array(p, np.int64) for b, p in places.items() if p}
-        base = np.array(before, np.int64)
         for batch in batches:
             b, s, r = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("bucket", "salt", "rank"))
-            rank = base[b - 1, s] + r
             seq, slot = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
             for x in np.unique(b):
                 at = np.flatnonzero(b == x)
-                row = tables[x - 1][np.searchsorted(starts[x - 1], rank[at], "right") - 1]
-                own = rank[at] - row[:, 0]
+                rank = before[x - 1][s[at]] + r[at]
+                row = places[x - 1][np.searchsorted(places[x - 1][:, 0], rank, "right") - 1]
+                own = rank - row[:, 0]
                 seq[at], slot[at] = row[:, 1] + own // row[:, 2], row[:, 3] + own % row[:, 2]
-            keep = [batch.column(x.split()[0]) for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(slot)], [*[x.split()[0] for x in PIECES.split(", ")], "sequence_id", "slot"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(seq), pa.array(slot)], [*names, "sequence_id", "slot"])
 
-    placed = ranked.select(*[x.split()[0] for x in PIECES.split(", ")], "bucket", "salt", "rank").mapInArrow(deal, f"{PIECES}, sequence_id long, slot long")
+    def placed(some: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
+        return through(some.withColumn("rank", rank).select(*names, "bucket", "salt", "rank"), deal, f"{PIECES}, sequence_id long, slot long")
+
+    # pieces of the greatest length fill their sequences alone
+    full = placed(rows.where(F.col("bucket") == size)).withColumn("offset", F.lit(0).cast("long"))
     inside = Window.partitionBy("sequence_id").orderBy("slot")
-    return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).drop("slot")
+    rest = placed(rows.where(F.col("bucket") < size)).withColumn("offset", F.sum("length").over(inside) - F.col("length"))
+    return full.unionByName(rest).drop("slot")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, most: int = 2048, unit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(cut(pieces_of(docs, vocabulary, end_id, most, id_col, text_col), "pieces"), most, unit)
+    pieces = pieces_of(docs, vocabulary, end_id, most, id_col, text_col).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    return pack(cut(pieces, "pieces"), most, unit)
