@@ -9,9 +9,12 @@ rest the overlap is counted over all columns and compared exactly.
 The product is taken in two passes, so that no group's pairs are all written out. First each row goes, in
 each of a few turns, to one block: rows that share a column, as many as a task can take. A block's product is
 counted over all its columns within the task, which hands on fewer edges than the block has rows. Then the columns
-that still hold rows of different components are multiplied, but only across components and across blocks.
-What is left out has been counted in a block or lies within a component already, so the components are those of
-all links.
+that still hold rows of different components are multiplied, but only across components and across blocks,
+and only where the places of the column in both rows leave room for the overlap that is needed: what stands
+before the first shared column is shared by no one. So rows that are alike but not enough meet in no column.
+Columns that would still make many pairs are multiplied tile by tile, each within a task that hands on fewer
+edges than it has rows. What is left out has been counted in a block or lies within a component already, so the
+components are those of all links.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; with fewer
 words than n, the whole sequence is the one n-gram; repeated rows are equal documents; rows whose id is
@@ -20,7 +23,6 @@ null come back with a null component and link with nothing; an empty table gives
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from functools import reduce
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quillon.llm.common import commonest, crc_mod, cut, id_text
+from quillon.llm.common import commonest, crc_mod, cut, free, id_text, through
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -92,7 +94,7 @@ def common_columns(rows: DataFrame, n: int, sample: int, most: int) -> tuple[np.
         for _, sets in batches_of(batches, Shingler(n)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    seen = cut(picked.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 3"), "join-common")
+    seen = cut(through(picked.select("text"), run, "h long").groupBy("h").count().where("count >= 3"), "join-common")
     seen = commonest(seen, "count", most).collect()
     h = np.array([r.h for r in seen], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -124,7 +126,7 @@ def documents_rows(rows: DataFrame, n: int, percent: int, common: tuple) -> Data
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "first"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, first array<long>")
+    return through(rows, run, "doc_id long, n_shingles long, set_id binary, first array<long>")
 
 
 def whole_sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -145,13 +147,7 @@ def whole_sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> Dat
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], lists], [*names, "columns"]).filter(pa.array(own, pa.bool_()))
 
-    return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in ids.dtypes) + ", columns array<long>")
-
-
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return through(found, run, ", ".join(f"`{c}` {t}" for c, t in ids.dtypes) + ", columns array<long>")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -160,6 +156,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     Each turn is a few grouped minima over the edges; it ends when a turn changes nothing.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), label)
+    digest = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    known = digest(edges)
     while True:
         # large star: every greater neighbour gets the least node around
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -168,11 +166,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         # small star: a node and its lesser neighbours get the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         pulled = large.join(least, "b")
-        small = cut(pulled.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(pulled.select(F.col("m").alias("a"), "b")).where("a < b").distinct(), label)
-        changed = not small.exceptAll(edges).isEmpty() or not edges.exceptAll(small).isEmpty()
-        edges = small
-        if not changed:
+        edges = cut(pulled.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(pulled.select(F.col("m").alias("a"), "b")).where("a < b").distinct(), label)
+        now = digest(edges)
+        if now == known:
             break
+        known = now
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("comp"))
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
@@ -182,14 +180,14 @@ def least_overlap(na, nb, percent: int):
     return F.ceil(percent * (na + nb) / (100 + percent))
 
 
-def could_link(shared, na, nb, percent: int):
-    """Whether a pair with so many of its first columns in common may reach the threshold.
+def index_length(n, percent: int):
+    """So many columns of a row that is the smaller of a pair come into question: the overlap is at least that of equal sizes."""
+    return n - F.ceil(2 * percent * n / (100 + percent)) + 1
 
-    Beyond the first columns of the row whose list ends earlier, nothing is known, so all the rest of that
-    row may be shared, and no more. Both ends are allowed for; sizes too far apart fail at once.
-    """
-    rest = lambda n: F.ceil(percent * n / 100) - 1
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (shared + F.greatest(rest(na), rest(nb)) >= least_overlap(na, nb, percent))
+
+def room(na, ia, nb, ib, percent: int):
+    """Whether two rows whose first shared column stands at these places may reach the threshold: all from there on may be shared."""
+    return F.least(na - ia, nb - ib) >= least_overlap(na, nb, percent)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -233,7 +231,9 @@ def block_links(table, percent: int):
     nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
     sets = [s.values.to_numpy() for s in table.column("columns").take(pa.array(first))]
     both, size = overlaps(sets), np.array([len(s) for s in sets], float)
-    linked = (100 + percent) * both >= percent * (size[:, None] + size[None, :])
+    linked = np.empty(both.shape, bool)
+    for i in range(0, len(size), 256):
+        linked[i : i + 256] = (100 + percent) * both[i : i + 256].astype(float) >= percent * (size[i : i + 256, None] + size[None, :])
     root, left = np.full(len(nodes), -1), np.ones(len(nodes), bool)
     for i in np.argsort(nodes):
         front = np.array([i]) if left[i] else np.zeros(0, np.int64)
@@ -244,7 +244,7 @@ def block_links(table, percent: int):
     return pa.table({"a": pa.array(nodes[root[other]]), "b": pa.array(nodes[other])})
 
 
-def choose_blocks(posts: DataFrame, comps: DataFrame | None, earlier: DataFrame | None, rows_a_block: int = 2048, columns_a_block: int = 2_000_000, least: int = 32) -> DataFrame:
+def choose_blocks(posts: DataFrame, comps: DataFrame | None, earlier: DataFrame | None, rows_a_block: int = 512, columns_a_block: int = 1_000_000, least: int = 32) -> DataFrame:
     """node, h, part: each row goes to the fullest of its columns that hold different components.
 
     Blocks are split by a hash of the row so that each fits a task, however many rows share the column.
@@ -264,12 +264,59 @@ def block_product(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, n: int,
     return cut(sets.groupBy("h", "part").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "join-edges")
 
 
+def across_blocks(posts: DataFrame, comps: DataFrame, blocks: list[DataFrame], nodes: DataFrame, rows: DataFrame, n: int, percent: int, most_pairs: int) -> DataFrame:
+    """Edges (a, b) that connect what links across components and blocks connect: the second pass.
+
+    Of a column's rows most are often of one component by now. They need not meet each other, only the rest: a
+    column's product is that of the rest's leading rows by all, and of the other leading rows by the rest.
+    """
+    told = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    for i, b in enumerate(blocks):
+        told = told.join(b.select("node", F.struct("h", "part").alias(f"block{i}")), "node", "left")
+    told = cut(told, "join-told")
+    lead = F.sum(F.col("leads").cast("long"))
+    each = told.groupBy("h", "comp").agg(F.count("*").alias("rows"), lead.alias("leading"), F.sum("n").alias("size"))
+    by = each.groupBy("h").agg(F.max(F.struct("rows", "comp", "leading")).alias("most"), F.sum("rows").alias("rows"), F.sum("leading").alias("leading"), F.sum("size").alias("size")).where("rows > most.rows and leading > 0")
+    pairs = F.expr("(leading - most.leading) * rows + most.leading * (rows - most.rows)")
+    by = cut(by.select("h", F.col("most.comp").alias("main"), "rows", "leading", "size", (pairs > most_pairs).alias("full")), "join-mixed")
+    told = told.join(by.select("h", "main", "full"), "h").withColumn("rest", F.col("comp") != F.col("main")).drop("main")
+    told = cut(told, "join-open")
+
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        x, y = left.alias("x"), right.alias("y")
+        on = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & room(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+        for i in range(len(blocks)):
+            on = on & F.coalesce(F.col(f"x.block{i}") != F.col(f"y.block{i}"), F.lit(True))
+        return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    few = told.where("not full")
+    pairs = pairs_of(few.where("leads and rest"), few).unionByName(pairs_of(few.where("leads and not rest"), few.where("rest")))
+    found = verified(cut(pairs.distinct(), "join-across"), nodes, rows, n, percent)
+    if by.where("full").isEmpty():
+        return found
+    return found.unionByName(tiles(told.where("full"), by.where("full"), nodes, rows, n, percent))
+
+
+def tiles(told: DataFrame, by: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int, rows_a_side: int = 1024, columns_a_side: int = 1_000_000) -> DataFrame:
+    """Edges that connect what links in the full columns connect: leading rows by rows, part by part."""
+    parts = F.greatest(F.ceil(F.col("rows") / rows_a_side), F.ceil(F.col("size") / columns_a_side)).cast("int")
+    own = told.join(by.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # rect 0: the rest's leading rows by all; rect 1: the main component's leading rows by the rest
+    left = own.where("leads").select("node", "h", F.col("rest").alias("rect"), F.col("part").alias("i"), F.explode(every).alias("j"))
+    right = own.select("node", "h", F.lit(True).alias("rect"), "part", every.alias("every")).unionByName(own.where("rest").select("node", "h", F.lit(False).alias("rect"), "part", every.alias("every")))
+    right = right.select("node", "h", "rect", F.explode("every").alias("i"), F.col("part").alias("j"))
+    sets = cut(whole_sets(told.select("node").distinct(), nodes, rows, n), "join-sets")
+    placed = left.unionByName(right).distinct().join(sets, "node")
+    return cut(placed.groupBy("h", "rect", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "join-tiles")
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     return linked(docs, n, percent, id_col, text_col, sample, most_common, turns).select("doc_id", "n_shingles", "component_id")
 
 
-def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2) -> DataFrame:
+def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most_common: int = 500_000, turns: int = 2, most_pairs: int = 1_000_000) -> DataFrame:
     """join() with each row's set_id and whether its set is the one that stays of its component."""
     rows = id_text(docs, id_col, text_col)
     per_doc = cut(documents_rows(rows, n, percent, common_columns(rows, n, sample, most_common)), "join-docs")
@@ -280,10 +327,9 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_c
     # the columns of one row of each set: a row with the least id, once
     own = filled.select("set_id", "doc_id", "first").join(nodes.select("set_id", F.col("rep").alias("doc_id"), "node", "n"), ["set_id", "doc_id"])
     lists = cut(own.dropDuplicates(["node"]).select("node", "n", "first"), "join-lists")
-    posts = lists.select("node", "n", F.explode("first").alias("h"))
-    led = cut(posts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "join-led")
+    posts = lists.select("node", "n", F.posexplode("first").alias("place", "h")).withColumn("leads", F.col("place") < index_length(F.col("n"), percent))
+    led = cut(posts.groupBy("h").agg(F.count("*").alias("rows"), F.max("leads").alias("leads")).where("rows > 1 and leads").select("h"), "join-led")
     posts = cut(posts.join(led, "h"), "join-shared")
-    release(docs.sparkSession)
     # first pass: blocks of rows of one column, turn by turn
     comps, edges, blocks = None, None, []
     for _ in range(turns):
@@ -292,21 +338,8 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_c
         found = block_product(blocks[-1], nodes, rows, n, percent)
         edges = found if edges is None else edges.unionByName(found)
         comps = cut(components(edges, "join-comps"), "join-linked")
-        release(docs.sparkSession)
-    # second pass: columns that hold different components, multiplied across components and blocks only
-    told = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    for i, b in enumerate(blocks):
-        told = told.join(b.select("node", F.struct("h", "part").alias(f"block{i}")), "node", "left")
-    told = cut(told, "join-told")
-    mixed = told.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    told = cut(told.join(mixed, "h", "left_semi"), "join-mixed")
-    x, y = told.alias("x"), told.alias("y")
-    apart = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    for i in range(len(blocks)):
-        apart = apart & F.coalesce(F.col(f"x.block{i}") != F.col(f"y.block{i}"), F.lit(True))
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
-    across = cut(across.where(could_link(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "join-across")
-    comps = cut(components(edges.unionByName(verified(across, nodes, rows, n, percent)), "join-comps"), "join-final")
+    across = across_blocks(posts, comps, blocks, nodes, rows, n, percent, most_pairs)
+    comps = cut(components(edges.unionByName(across), "join-comps"), "join-final")
     # from nodes to ids: the least id of a component, then of each set
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min(F.struct("rep", "set_id")).alias("least"))
@@ -337,18 +370,20 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     A row is judged by its own text: rows of one id whose texts do not link all stay, as do rows without words.
     """
     found = cut(linked(docs, n, percent, id_col, text_col), "join-found")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    twice = cut(twice, "join-repeated")
+    own_set, gone_id, gone_set = (free(docs, x) for x in ("_set", "_gone", "_gone_set"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    ids = cut(ids, "join-repeated")
     gone = found.where("component_id <> doc_id or not stays")
-    if twice.isEmpty():
-        return without(docs, gone.select(F.col("doc_id").alias("_gone")), docs[id_col] == F.col("_gone"))
-    gone = cut(gone.join(twice, F.col("doc_id") == F.col("_twice"), "left").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_gone_set"), "_twice").distinct(), "join-gone")
-    once = docs.join(twice, docs[id_col] == F.col("_twice"), "left_anti")
-    once = without(once, gone.where("_twice is null").select("_gone"), F.col(id_col) == F.col("_gone"))
-    rows = with_set(docs.join(twice, docs[id_col] == F.col("_twice"), "left_semi"), n, text_col)
-    rows = without(rows, gone.where("_twice is not null").select("_gone", "_gone_set"), (F.col(id_col) == F.col("_gone")) & (F.col("_set") == F.col("_gone_set")))
-    full = rows.where("_set is not null").dropDuplicates([id_col, "_set"])
-    return once.unionByName(full.drop("_set")).unionByName(rows.where("_set is null").drop("_set"))
+    if ids.isEmpty():
+        return without(docs, gone.select(F.col("doc_id").alias(gone_id)), docs[id_col] == F.col(gone_id))
+    gone = gone.join(ids, F.col("doc_id") == F.col("twice"), "left").select(F.col("doc_id").alias(gone_id), F.col("set_id").alias(gone_set), F.col("twice").isNotNull().alias("many"))
+    gone, twice = cut(gone.distinct(), "join-gone"), ids.select(F.col("twice").alias(gone_id))
+    once = docs.join(twice, docs[id_col] == F.col(gone_id), "left_anti")
+    once = without(once, gone.where("not many").select(gone_id), F.col(id_col) == F.col(gone_id))
+    rows = with_set(docs.join(twice, docs[id_col] == F.col(gone_id), "left_semi"), n, text_col, own_set)
+    rows = without(rows, gone.where("many").select(gone_id, gone_set), (F.col(id_col) == F.col(gone_id)) & (F.col(own_set) == F.col(gone_set)))
+    full = rows.where(F.col(own_set).isNotNull()).dropDuplicates([id_col, own_set])
+    return once.unionByName(full.drop(own_set)).unionByName(rows.where(F.col(own_set).isNull()).drop(own_set))
 
 
 def without(docs: DataFrame, gone: DataFrame, on) -> DataFrame:
@@ -356,9 +391,9 @@ def without(docs: DataFrame, gone: DataFrame, on) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone.hint("shuffle_merge"), on, "left_anti")
 
 
-def with_set(docs: DataFrame, n: int, text_col: str) -> DataFrame:
-    """docs with the 128 bits of each row's set as _set, null if it is empty."""
-    place, names = docs.columns.index(text_col), [*docs.columns, "_set"]
+def with_set(docs: DataFrame, n: int, text_col: str, name: str) -> DataFrame:
+    """docs with the 128 bits of each row's set, null if it is empty."""
+    place, names = docs.columns.index(text_col), [*docs.columns, name]
 
     def run(batches):
         import pyarrow as pa
@@ -372,4 +407,4 @@ def with_set(docs: DataFrame, n: int, text_col: str) -> DataFrame:
                 own = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingler.sets(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(own, pa.binary())], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    return through(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
