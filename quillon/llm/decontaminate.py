@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, id_text
+from quillon.llm.common import cut, id_text, through
 
 WORD = re.compile(r"\w+")
 ENTRY, SHINGLE, BLOCK = 64, 5, 16
@@ -222,7 +222,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
             df = Counter(w for e in entries for w in set(e))
             yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.string()), pa.array([*df.values(), len(entries)], pa.int64()), pa.array([*[0] * len(df), sum(map(len, entries))], pa.int64())], ["term", "df", "words"])
 
-    return rows.mapInArrow(run, "term string, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    return through(rows, run, "term string, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
 
 
 def indexes(benchmark: DataFrame, id_col: str, text_col: str, most_words: int):
@@ -266,7 +266,7 @@ def part_leaks(rows: DataFrame, box, threshold: float, overlap: float) -> DataFr
             fields = [f.split() for f in OUT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], [n for n, _ in fields])
 
-    return rows.mapInArrow(run, OUT)
+    return through(rows, run, OUT)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:
@@ -284,5 +284,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
                 ok = [not box.value.leaks(words_of(t.as_py()), threshold, overlap) for t in b.column(place)]
                 yield b.filter(pa.array(ok, pa.bool_()))
 
-        kept = kept.mapInArrow(run, kept.schema)
+        kept = through(kept, run, kept.schema)
     return kept

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_text
+from quillon.llm.common import id_text, through
 
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}]+")
@@ -99,4 +99,4 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], held_out: Column, id_col:
             cols = list(zip(*got)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"])
 
-    return rows.mapInArrow(run, OUT)
+    return through(rows, run, OUT)

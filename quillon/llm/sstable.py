@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, id_text, new_path
+from quillon.llm.common import cut, id_text, new_path, through
 from quillon.llm.tokens import chunks, encoder
 
 MAGIC = 0x514C4E5353543031
@@ -209,7 +209,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
         yield pa.RecordBatch.from_arrays([pa.array([made[n]] if made else [], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
-    return cut(rows.mapInArrow(run, MANIFEST), "manifest")
+    return cut(through(rows, run, MANIFEST), "manifest")
 
 
 READ = "shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
@@ -233,7 +233,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), *[pa.array(c, pa.int64()) for c in cols]], [x.split()[0] for x in READ.split(", ")])
 
     many = max(1, manifest.count())
-    got = manifest.select("shard", "path").repartition(many).mapInArrow(run, READ)
+    got = through(manifest.select("shard", "path").repartition(many), run, READ)
     before = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
     return got.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")
 

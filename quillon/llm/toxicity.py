@@ -3,7 +3,8 @@
 Inputs of a word: an embedding of its hashed form, the mean embedding of its hashed character
 trigrams, and how much oftener it stands in toxic training documents (leave-one-out in training).
 Windows of `WIDTH` words overlap; every window of the whole text is scored and a document has the
-score of its highest window. Training is numpy on the driver over a bounded sample of labelled rows.
+score of its highest window. Training is numpy in one task over a bounded sample of labelled rows, so
+neither their texts nor the training take memory of the driver.
 
 Defined cases: texts that are null or hold no word score 0; one-word texts are one window; rows
 repeat as they are; an empty table gives no rows; with labels of one kind only, or none, every score
@@ -12,6 +13,7 @@ is that kind's share (0 without labels). Only text and the given label are ever
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import defaultdict
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import id_text, keep_ids
+from quillon.llm.common import id_text, through
 
 WORD = re.compile(r"[^\W\d_]+")
 WIDTH, STRIDE = 32, 24
@@ -257,21 +259,25 @@ def train(texts: list[str], toxic: list[int], steps: int = 250, rate: float = 0.
     return Model(float(y.mean()), p, {w: float(o) for w, o in zip(vocab, odds) if abs(o) > 0.05})
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 1000, most_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_each: int = 1500, most_chars: int = 20_000) -> Model:
     """Train on the (at most) `most_each` toxic and `most_each` clean labelled documents of lowest hash
     among those of up to `most_chars` characters. A document counts as toxic if any of its labels does."""
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    rows = id_text(docs, id_col, text_col)
-    short = rows.where(F.length("text") <= most_chars).select("doc_id")
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(short, "doc_id", "left_semi")
+    rows = id_text(docs, id_col, text_col).where(F.length("text") <= most_chars)
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(rows.select("doc_id"), "doc_id", "left_semi")
     picked = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_each) for k in (0, 1)]
-    chosen = {r.doc_id: r.toxic for r in picked[0].unionByName(picked[1]).collect()}
-    if not chosen:
-        return Model(0.0)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    got = sorted((r.doc_id, r.text) for r in keep_ids(rows.where(F.length("text") <= most_chars), ids).toLocalIterator())
-    return train([t for _, t in got], [chosen[i] for i, _ in got])
+    chosen = picked[0].unionByName(picked[1])  # at most 2 * most_each rows
+    # an id that is repeated gives one of its texts, the same one each time
+    own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        got = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in got], [k for *_, k in got]))], pa.binary())], ["model"])
+
+    made = through(own.repartition(1), run, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else Model(0.0)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +295,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return id_text(docs, id_col, text_col).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, OUT)
+    return through(id_text(docs, id_col, text_col).select("doc_id", "text", held_out.alias("held_out")), run, OUT)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -306,4 +312,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             for lo, hi in chunks(texts, 2_000_000):
                 yield b.slice(lo, hi - lo).filter(pa.array(box.value.score(texts[lo:hi]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run, docs.schema)
