@@ -6,9 +6,12 @@ A bidirectional long short-term memory network reads, for the whole sequence, th
 article or not. It is trained in numpy on pages from a page grammar (menus, headers, footers, sidebars,
 notices, adverts, forms, comments around an article), so nothing of the given pages is learned.
 
-Defined cases: null or blank html gives empty text; pages without blocks, too; markup that is broken off,
-wrongly nested or unquoted is read as far as it goes; very long pages are read whole; repeated rows are
-labelled each; an empty table gives no rows. Columns other than id, url and html are not read.
+Defined cases: null or blank html gives empty text; pages without blocks, too; markup that is wrongly nested or
+unquoted is read as it comes; a tag whose quotes never close ends at its first >, and so do all tags after it; what
+looks like a tag but never ends is text; an element whose content is passed over (a script, a drawing) and that is
+not closed ends with the element around it; an unclosed comment goes to the page's end. Very long pages are read
+whole, in time in proportion to their length; repeated rows are labelled each; an empty table gives no rows. Columns
+other than id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +29,18 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import through
 
-PART = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]++|<""", re.S)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 WORD = re.compile(r"\w+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img nobr ruby rt rp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img nobr ruby rt rp math mi mn mo mrow msup msub".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noscript noframes template select svg math object audio video canvas datalist xmp".split())
+#: What stands in these is no text of the page; in the latter only if they are closed.
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+SKIPPED = RAW | frozenset("select datalist template noscript svg object audio video canvas".split())
+DEEPEST = 100  # elements nested deeper count as part of the one around
 #: A start tag closes these open ones, up to the next container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -44,18 +54,65 @@ def code(text: str, size: int) -> int:
     return zlib.crc32(text.encode()) % size
 
 
-@lru_cache(maxsize=100_000)
+def names_of(attributes: str) -> list[str]:
+    """Words in the class, id and role, each once."""
+    found = [a or b or c for a, b, c in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
+    return list(dict.fromkeys(w.lower() for n in found for w in NAME_PART.findall(n)))
+
+
+@lru_cache(maxsize=20_000)
+def cached(tag: str, attributes: str) -> tuple[int, ...]:
+    return (code("<" + tag, PATHS), *(code("." + w, PATHS) for w in names_of(attributes)))
+
+
 def element(tag: str, attributes: str) -> tuple[int, ...]:
     """Hashes of the tag and of the words in its class, id and role."""
-    names = [a or b or c for a, b, c in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
-    words = dict.fromkeys(w.lower() for n in names for w in NAME_PART.findall(n))
-    return (code("<" + tag, PATHS), *(code("." + w, PATHS) for w in words))
+    return (cached if len(attributes) < 300 else cached.__wrapped__)(tag, attributes)
+
+
+class Tags:
+    """Reads the tags of a page from left to right; no part of it is scanned again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted, self.ends = page, page.rfind(">"), True, None
+
+    def end_of(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at `at`; quotes may hold others."""
+        if self.quoted:
+            i = at
+            while m := STOP.search(self.page, i):
+                if m[0] == ">":
+                    return m.start()
+                i = self.page.find(m[0], m.end()) + 1
+                if not i:
+                    break
+            self.quoted = False
+        return self.page.find(">", at)
+
+    def next_end(self, tag: str, at: int) -> int:
+        """Place of the next end tag of that name, or the page's size."""
+        if self.ends is None:
+            self.ends = {}
+            for m in END_TAG.finditer(self.page):
+                self.ends.setdefault(m[1].lower(), []).append(m.start())
+        own = self.ends.get(tag, [])
+        i = bisect_left(own, at)
+        return own[i] if i < len(own) else len(self.page)
+
+    def after(self, tag: str, around: str | None, at: int) -> int | None:
+        """Where to go on after the content of a SKIPPED element, or None if the content counts."""
+        end, outer = self.next_end(tag, at), self.next_end(around, at) if around else len(self.page)
+        if end < outer or end < len(self.page) and tag in RAW:
+            close = self.page.find(">", end)
+            return close + 1 if close >= 0 else len(self.page)
+        return outer if tag in RAW else None
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
     """(text, path, share of the text in links) of each leaf block; path: the elements' hashes from the root."""
-    out, stack, text, linked, path = [], [], [], 0, None
-    links = 0
+    out, stack, open_, text, linked, path = [], [], Counter(), [], 0, None
+    links, at, page = 0, 0, page or ""
+    tags = Tags(page)
 
     def flush():
         nonlocal text, linked, path
@@ -66,25 +123,58 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
                 out.append((" ".join(words), path, linked / max(1, len(raw))))
         text, linked, path = [], 0, None
 
-    at, page = 0, page or ""
-    while m := PART.match(page, at):
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            own = m[0]
-            if own[0] != "<" or own == "<":
-                if path is None and not own.isspace():
-                    path = tuple(e[1] for e in stack)
-                text.append(own)
-                linked += len(own) if links else 0
+    def add(own):
+        nonlocal path, linked
+        if path is None and not own.isspace():
+            path = tuple(e[1] for e in stack)
+        text.append(own)
+        linked += len(own) if links else 0
+
+    def drop(k):
+        for e in stack[k:]:
+            open_[e[0]] -= 1
+        del stack[k:]
+
+    def drop_last(of, stops=()):
+        """Closes the last open element of these and all within, if none of `stops` lies between."""
+        if any(open_[x] for x in of):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in stops:
+                    return
+                if stack[k][0] in of:
+                    return drop(k)
+
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            add(page[at:end])
+            at = end
             continue
-        tag, close, attributes = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
-        if tag in RAW and not close:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if at > tags.last:
+            add(page[at:])
+            break
+        if page[at + 1] in "!?":
+            at = page.find(">", at) + 1
+            continue
+        m = TAG.match(page, at)
+        if not m:
+            add("<")
+            at += 1
+            continue
+        end = tags.end_of(m.end())
+        tag, close, attributes, at = m[1].lower(), page[at + 1] == "/", page[m.end() : end], end + 1
+        if tag in SKIPPED and not close:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                to = tags.after(tag, stack[-1][0] if stack else None, at)
+                at = at if to is None else to
             continue
-        if tag in INLINE:
+        # an inline element that names itself as an advert or a notice is a block of its own
+        if tag in INLINE and not (open_[tag] if close else tag in ("ins", "span") and not JUNK.isdisjoint(names_of(attributes))):
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
@@ -93,33 +183,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
         flush()
         links = 0
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            drop_last((tag,))
             continue
         if tag in VOID:
             continue
         if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in STOPS[tag]:
-                    break
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
+            drop_last(CLOSES[tag], STOPS[tag])
+        elif tag not in INLINE and stack and stack[-1][0] == "p":
+            drop(len(stack) - 1)
         if tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag not in ("html", "body", "head") and not attributes.endswith("/"):
+            drop(len(stack) - 1)
+        if tag not in ("html", "body", "head") and not attributes.endswith("/") and len(stack) < DEEPEST:
             stack.append((tag, element(tag, attributes)))
+            open_[tag] += 1
     flush()
     return out
 
 
 def measures(text: str, linked: float, i: int, n: int) -> list[float]:
     size = len(text)
-    return [np.log1p(size) / 5, linked, 10 * sum(map(text.count, ".,;!?")) / size, 5 * sum(c.isdigit() for c in text[:200]) / min(size, 200), i / n, (n - i) / n, np.log1p(n) / 5, float(text.endswith((".", "!", "?", ":", '"')))]
+    return [np.log1p(size) / 5, linked, 10 * sum(map(text.count, ".,;!?")) / size, 5 * sum(map(text.count, "0123456789")) / size, i / n, (n - i) / n, np.log1p(n) / 5, float(text.endswith((".", "!", "?", ":", '"')))]
 
 
 class Batch:
@@ -250,6 +333,11 @@ class Labeller:
         return out
 
 
+#: Class names of adverts and notices within a line, and their words.
+INLINE_JUNK = ("ad", "ads", "advert", "advertisement", "adsbygoogle", "sponsored", "sponsor", "promo", "banner", "newsletter", "subscribe", "paywall", "share", "social")
+JUNK = frozenset(INLINE_JUNK)
+
+
 class Grammar:
     """Pages to train on: an article among menus, notices and the like, in many layouts.
 
@@ -305,6 +393,9 @@ class Grammar:
             text = text.replace(" ", " <b>", 1) + "</b>"
         if self.chance(0.1):
             text += f' <a href="/x">{self.some(1, 4)}</a>'
+        if mark and self.chance(0.04):
+            kind = self.pick(("ins", "span"))
+            text += f' <{kind} class="{self.pick(INLINE_JUNK)}">{self.sentence(2, 8)}</{kind}> {mark}{self.sentence()}'
         return mark + text
 
     def article(self) -> str:
