@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.files import spread
+
 TIER = "CASE WHEN l_quantity*(1-l_discount) > 30 AND l_extendedprice > 40000 THEN 'bulk' WHEN l_tax >= 0.05 THEN 'taxed' ELSE 'std' END"
 VAL = "CASE WHEN o_totalprice > 350000 AND c_acctbal > 2000 THEN 'gold' WHEN o_totalprice > 150000 THEN 'silver' ELSE 'bronze' END"
 
@@ -29,15 +31,20 @@ F_TIER = Fixture(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ("l_r
 G_VAL = Fixture(("o_totalprice", "c_acctbal"), ("o_orderstatus", "o_orderpriority", "c_mktsegment"), "val", f"SELECT o_orderkey, o_totalprice, c_acctbal, o_orderstatus, o_orderpriority, c_mktsegment, {VAL} AS val FROM orders JOIN customer ON o_custkey = c_custkey")
 
 
+WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+#: Read from documents and labels; the SQL form is for the twin.
+C_QUALITY = Fixture(("n_chars", "n_words", "n_uniq"), ("lang",), "quality", f"SELECT CAST(n_chars AS DOUBLE) AS n_chars, CAST(len({WORDS}) AS DOUBLE) AS n_words, CAST(len(list_distinct({WORDS})) AS DOUBLE) AS n_uniq, lang, CAST(quality AS VARCHAR) AS quality FROM documents JOIN labels USING (doc_id)")
+
+
 def tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select(*F_TIER.names, F.expr(TIER).alias("tier"))
+    return spread(rows.select(*F_TIER.names, F.expr(TIER).alias("tier")))
 
 
 def value(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select("o_orderkey", *G_VAL.names, F.expr(VAL).alias("val"))
+    return spread(rows.select("o_orderkey", *G_VAL.names, F.expr(VAL).alias("val")))
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ An item is (variable, label) as one number, var * STEP + label; an itemset is it
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,14 +51,14 @@ def itemsets(counts: DataFrame, schema: FuzzySchema, p: Params) -> DataFrame:
     """itemset, len, cls, cov: the cost-weighted count of every subset of up to max_attributes items.
 
     Integer counts are summed, the cost comes last. Missing and unknown values are no items. Each row keeps
-    its own items and is exploded over the subsets of places, which are few and fixed; equal itemsets
-    are summed on the tasks before they are moved.
+    its own items and is exploded over the subsets of places, one literal; equal itemsets are summed on the
+    tasks before they are moved.
     """
     v = len(schema.variables)
     places = [list(c) for k in range(1, min(p.max_attributes, v) + 1) for c in combinations(range(v), k)]
-    table = counts.sparkSession.createDataFrame([(c,) for c in places], "places array<int>")
+    table = F.from_json(F.lit(json.dumps(places)), "array<array<int>>")
     item = lambda i: i * STEP + F.get(F.col("labels"), i)
-    own = counts.crossJoin(F.broadcast(table)).where(F.forall("places", lambda i: F.coalesce(F.get(F.col("labels"), i) >= 0, F.lit(False))))
+    own = counts.select("*", F.explode(table).alias("places")).where(F.forall("places", lambda i: F.coalesce(F.get(F.col("labels"), i) >= 0, F.lit(False))))
     sums = own.select(F.transform("places", item).alias("itemset"), "cls", "n").groupBy("itemset", "cls").agg(F.sum("n").alias("n"))
     return sums.select("itemset", F.size("itemset").alias("len"), "cls", (F.col("n") * cost_of(F.col("cls"), schema, p)).alias("cov"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,18 +50,35 @@ def products(mu: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_sums(mu: np.ndarray, cls: np.ndarray, places: np.ndarray, total: np.ndarray, rows: int = 1024, rules: int = 256) -> None:
+    """Adds each rule's matching over each class to total (rules x classes), a small block of rows and rules at a time."""
+    for i in range(0, len(mu), rows):
+        own = np.ascontiguousarray(mu[i : i + rows].T)
+        one = (cls[i : i + rows, None] == np.arange(total.shape[1])).astype(float)
+        for r in range(0, len(places), rules):
+            p = places[r : r + rules]
+            out = own[p[:, 0]]
+            for k in range(1, p.shape[1]):
+                out *= own[p[:, k]]
+            total[r : r + rules] += out @ one
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow list column of equal lengths as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def class_matching(df: DataFrame, schema: FuzzySchema, sets: dict, rules: list[list[int]], p: Params, engine: str = "arrow", chunk: int = 4096) -> DataFrame:
+def class_matching(df: DataFrame, schema: FuzzySchema, sets: dict, rules: list[list[int]], p: Params, engine: str = "arrow", most_rules: int = 100_000) -> DataFrame:
     """rule, cls, m: the cost-weighted sum of every rule's matching over each class.
 
-    The rules are a few thousand at most and are sent to the tasks. `arrow` multiplies blocks of rows
-    by all rules in numpy and hands on one sum for each rule and class of a task; `sql` is the
+    The rules are sent to the tasks, at most `most_rules` of them in one pass over the data (12 bytes each); there
+    are more only before the choice of the best, with very many variables. `arrow` multiplies blocks of rows
+    by blocks of rules in numpy and hands on one sum for each rule and class of a task; `sql` is the
     same as a broadcast product with partial sums, for sessions without Python workers.
     """
+    if len(rules) > most_rules:
+        slices = [(i, class_matching(df, schema, sets, rules[i : i + most_rules], p, engine, most_rules)) for i in range(0, len(rules), most_rules)]
+        return reduce(DataFrame.unionByName, [m.withColumn("rule", F.col("rule") + i) for i, m in slices])
     labels, width = p.num_linguistic_labels, max([len(r) for r in rules] or [1])
     rows = df.select(memberships(schema, sets).alias("mu"), I.class_code(schema).alias("cls")).where("cls >= 0")
     places, costs, spark = packed(rules, schema, labels, width), schema.costs(p.cost_sensitive), df.sparkSession
@@ -75,15 +94,11 @@ def class_matching(df: DataFrame, schema: FuzzySchema, sets: dict, rules: list[l
         def run(batches):
             import pyarrow as pa
 
-            total = np.zeros((classes, len(box.value)))
+            total = np.zeros((len(box.value), classes))
             for b in batches:
-                mu, cls = matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-                for c in range(classes):
-                    own = mu[cls == c]
-                    for i in range(0, len(own), chunk):
-                        total[c] += products(own[i : i + chunk], box.value).sum(axis=0)
-            c, r = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[c, r])], ["rule", "cls", "m"])
+                class_sums(matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), box.value, total)
+            r, c = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[r, c])], ["rule", "cls", "m"])
 
         sums = rows.mapInArrow(run, "rule int, cls int, m double").groupBy("rule", "cls").agg(F.sum("m").alias("m"))
     return sums.withColumn("m", F.col("m") * I.cost_of(F.col("cls"), schema, p))

@@ -29,21 +29,34 @@ def unpivot(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
 
 
-def quantile_cuts(df: DataFrame, names: list[str], bins: int = 1000, ranges: int = 64) -> DataFrame:
+def quantile_cuts(df: DataFrame, names: list[str], bins: int = 1000, ranges: int | None = None) -> DataFrame:
     """var, idx, q: the cut points of each variable, in order.
 
     Equal values are counted on the tasks that read them. The different values are dealt to ranges by
     approximate quantiles, the ranges' totals give the rank at which each range begins, and ranks
     within the ranges are running counts. So no task ever sorts a whole variable, and ranks are exact.
+    There are as many ranges as shuffle partitions, 64 at least.
     """
     spark = df.sparkSession
+    ranges = ranges or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cells = unpivot(df, names)
-    marks = cells.groupBy("var").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 2000).alias("ends"), F.count("*").alias("n")).collect()
+    marks = cells.groupBy("var").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(1000, 4 * ranges)).alias("ends"), F.count("*").alias("n")).collect()
     if not marks:
         return spark.createDataFrame([], "var int, idx int, q double")
     ends, size = {r["var"]: sorted(set(r["ends"])) for r in marks}, {r["var"]: r["n"] for r in marks}
-    lists = F.array(*[array_of(ends.get(i, [])) for i in range(len(names))])
-    counts = cells.groupBy("var", "value").agg(F.count("*").alias("n")).withColumn("range", F.size(F.filter(F.get(lists, F.col("var")), lambda e: e < F.col("value"))))
+    lists = {var: np.array(e) for var, e in ends.items()}
+
+    def smaller(var, value):
+        """So many ends of its variable lie below each value."""
+        import pyarrow as pa
+
+        v, x = var.to_numpy(zero_copy_only=False), value.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(v), np.int32)
+        for k, e in lists.items():
+            out[v == k] = np.searchsorted(e, x[v == k])
+        return pa.array(out)
+
+    counts = cells.groupBy("var", "value").agg(F.count("*").alias("n")).withColumn("range", vectorized(smaller, "int")("var", "value"))
     counts = counts.persist()
     try:
         totals = counts.groupBy("var", "range").agg(F.sum("n").alias("n")).collect()
@@ -82,6 +95,11 @@ def probe(cuts: list[float], v: float) -> int:
     return a
 
 
+def vectorized(run, kind: str):
+    """An Arrow function of whole columns; a filter on its outcome does not make it run again."""
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR).asNondeterministic()
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Cut points of the real variables, by name. They belong to the model: new data use the old ones."""
@@ -98,9 +116,45 @@ class Scaler:
             cuts[names[r["var"]]].append(r["q"])
         return Scaler(cuts, {v.name: (v.lo, v.hi) for v in schema.reals}, tie)
 
-    def transform(self, df: DataFrame, only: list[str] | None = None) -> DataFrame:
-        """Each real column as its place among the cut points, interpolated, in [0, 1]."""
-        return df.withColumns({n: self.column(F.col(f"`{n}`").cast("double"), n) for n in self.cuts if only is None or n in only})
+    def transform(self, df: DataFrame, only: list[str] | None = None, engine: str = "arrow") -> DataFrame:
+        """Each real column as its place among the cut points, interpolated, in [0, 1].
+
+        `arrow` searches for blocks of values in numpy; `sql` is the same in higher-order functions, for sessions
+        without Python workers. Both work on streams.
+        """
+        make = self.column if engine == "sql" else lambda v, n: vectorized(self.places(n), "double")(v)
+        return df.withColumns({n: make(F.col(f"`{n}`").cast("double"), n) for n in self.cuts if only is None or n in only})
+
+    def hits(self, cuts: list[float]) -> dict[int, int]:
+        """Where the search stops for the value of each cut point, if not on the first of equal ones."""
+        found = {k: probe(cuts, c) for k, c in enumerate(cuts) if k == 0 or cuts[k - 1] != c} if self.tie == "bisect" else {}
+        return {k: h for k, h in found.items() if k != h}
+
+    def places(self, name: str):
+        """The transform of one variable as a function of an Arrow column."""
+        cuts, lo, q = np.array(self.cuts[name], float), float(self.bounds[name][0]), len(self.cuts[name])
+        to = np.arange(q)
+        for k, h in self.hits(self.cuts[name]).items():
+            to[k] = h
+        left = np.concatenate([[lo], cuts])  # the left end of each bin
+        right = np.append(cuts, np.nan)
+
+        def run(column):
+            import pyarrow as pa
+
+            none = column.is_null().to_numpy(zero_copy_only=False)
+            x = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+            if not q:
+                return pa.array(np.ones(len(x)), mask=none)
+            i = np.searchsorted(cuts, x)
+            hit = right[i] == x
+            i[hit] = to[i[hit]]
+            y1, wide = i / q, right[i] - left[i]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                inside = np.where(wide > 0, y1 + (x - left[i]) * ((i + 1) / q - y1) / wide, y1)
+            return pa.array(np.where(i >= q, 1.0, inside), mask=none)
+
+        return run
 
     def column(self, v: Column, name: str) -> Column:
         """A halving search as a fold over its steps: a small expression, also where a filter repeats it."""
@@ -119,10 +173,8 @@ class Scaler:
             return F.transform(F.array(hit(x, i)), lambda k: between(x, k))[0]
 
         def hit(x, i):
-            if self.tie != "bisect":
-                return i
-            hits = {k: probe(cuts, c) for k, c in enumerate(cuts) if k == 0 or cuts[k - 1] != c}
-            if all(k == h for k, h in hits.items()):
+            hits = self.hits(cuts)
+            if not hits:
                 return i
             to = F.lit(np.array([hits.get(k, k) for k in range(q)], np.int32))
             return F.when(F.get(lists, i) == x, F.get(to, i)).otherwise(i)

@@ -179,8 +179,8 @@ def on_f(p: Params, upto: str, last: str) -> str:
     return with_chain(parts + (weight_parts(f, p) if upto == "rules" else []), last)
 
 
-def listed(source: str, cols: str) -> str:
-    return f"SELECT items, CAST(len AS INTEGER) AS len, c.class, {cols} FROM {items_sql(X.F_TIER, source)} x JOIN classes c ON c.cls = x.cls"
+def listed(source: str, cols: str, f: X.Fixture = X.F_TIER) -> str:
+    return f"SELECT items, CAST(len AS INTEGER) AS len, c.class, {cols} FROM {items_sql(f, source)} x JOIN classes c ON c.cls = x.cls"
 
 
 CAND = "round(support, 6) AS support, round(conf, 6) AS conf"
@@ -220,6 +220,43 @@ def fitness_sql() -> str:
 FROM rates r JOIN sizes s ON s.chrom = r.chrom GROUP BY r.chrom, k""")
 
 
+def best_subset_sql() -> str:
+    """Each of the 2^n - 1 subsets, and the fitness of the best."""
+    n = len(Q.RULES)
+    return with_chain([
+        *scoring_parts(), f"subsets AS (SELECT unnest(range(1, {2**n})) AS s)",
+        "won AS MATERIALIZED (SELECT s, o_orderkey, real, max(m) AS top, arg_max(cls, {'m': m, 'first': -rule}) AS cls FROM matched, subsets WHERE (s >> rule) & 1 = 1 GROUP BY ALL)",
+        "rates AS (SELECT s, real, sum(CASE WHEN real = (CASE WHEN top > 0 THEN cls ELSE (SELECT cls FROM fallback) END) THEN 1 ELSE 0 END)::DOUBLE / count(*) AS rate FROM won GROUP BY s, real)",
+        f"rated AS (SELECT s, power(product(rate), 1.0 / count(*)) - {n}::DOUBLE / ({n} - bit_count(s) + 1) * 0.15 AS fit FROM rates GROUP BY s)",
+    ], "SELECT round(max(fit), 6) AS best FROM rated")
+
+
+def training_sql() -> str:
+    """Cut points and bounds of the training rows; the search for the values of the others."""
+    f = X.G_VAL
+    parts = [f"whole AS ({f.sql})", "base AS (SELECT * FROM whole WHERE o_orderkey % 4 <> 0)", f"test AS ({cells(f.reals).replace('FROM base', 'FROM whole WHERE o_orderkey % 4 = 0')})"]
+    parts += [x.replace("vals AS (SELECT DISTINCT var, value FROM long)", "vals AS (SELECT DISTINCT var, value FROM test)") for x in scaled_parts(f.reals)]
+    joins = " ".join(f"JOIN pit p{i} ON p{i}.var = {i} AND p{i}.value = CAST(w.{n} AS DOUBLE)" for i, n in enumerate(f.reals))
+    return with_chain(parts, f"SELECT o_orderkey, {', '.join(f'round(p{i}.u, 6) AS {n}' for i, n in enumerate(f.reals))} FROM whole w {joins} WHERE o_orderkey % 4 = 0")
+
+
+def header_sql() -> str:
+    f = X.F_TIER
+    rows = [f"SELECT '{n}' AS name, 'real' AS kind, min({n}) AS lo, max({n}) AS hi, '' AS vals FROM base" for n in f.reals]
+    rows += [f"SELECT '{n}', 'nominal', NULL, NULL, string_agg(DISTINCT {n}, ',' ORDER BY {n}) FROM base" for n in f.nominals]
+    return f"WITH base AS ({f.sql}) " + " UNION ALL ".join(rows)
+
+
+def config_sql() -> str:
+    """The settings as literals: what was written comes back, and the line that no key has."""
+    said = {
+        "best_genes_pct": "0.35", "bits_gene": "30", "cost-sensitive": "true", "evolutionary": "false", "fitness": "accuracy", "inference": "winning_rule", "max_attributes": "3", "max_evaluations": "10000", "max_restarts_no_improve": "3",
+        "min_crisp_confidence": "0.7", "min_fuzzy_confidence": "0.6", "num_linguistic_labels": "5", "num_partitions": "0", "population_size": "50", "proportion_initial_rules_evolutionary": "2", "proportions_rule_lengths": "0.2,0.3,0.5", "verbose": "false", "weight_method": "pcf",
+        "not understood": "unknown = 1",
+    }
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in said.items()) + ") AS t(name, value)"
+
+
 def set_rows(first: int = 0) -> str:
     h = 1 / (L - 1)
     return " UNION ALL ".join(f"SELECT {i} AS var, {j} AS label, {h * max(j - 1, 0)!r} AS l, {h * j!r} AS m, {h * min(j + 1, L - 1)!r} AS r" for i in range(4) for j in range(L))
@@ -276,6 +313,19 @@ def all_sql() -> dict[str, str]:
         "pcblx_bounds": f"SELECT a, b, round(greatest(0.0, a - abs(a - b)), 6) AS lo, round(least(1.0, a + abs(a - b)), 6) AS hi FROM ({GRID})",
         "histogram10": "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), h AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 10.0)), 9) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, round(lo + (hi - lo) / 10.0 * b, 4) AS lo, round(lo + (hi - lo) / 10.0 * (b + 1), 4) AS hi, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 10)) AS b) LEFT JOIN h ON h.bin = b, e",
     }
+    c = X.C_QUALITY
+    out |= {
+        "rule_numbers": on_f(p, "", f"SELECT items, CAST(len AS INTEGER) AS len, CAST(row_number() OVER (ORDER BY len, itemset) - 1 AS INTEGER) AS rule FROM {items_sql(f, 'pruned')} x"),
+        "candidates_checkpoint": out["pruned_itemsets"],
+        "delimited_rows": f"SELECT val, o_orderstatus, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS price, round(min(c_acctbal), 2) AS least FROM ({X.G_VAL.sql}) GROUP BY ALL",
+        "training_cuts": training_sql(),
+        "saved_model_classify": out["classify_winning"],
+        "confusion_report": with_chain([*scoring_parts(), WIN, TABLE], "SELECT string_agg(n, chr(9) ORDER BY pred) AS line FROM table_ GROUP BY real"),
+        "chc_best": best_subset_sql(),
+        "header_roundtrip": header_sql(),
+        "config_roundtrip": config_sql(),
+        "itemset_ranking": with_chain([*fixture_parts(c), *itemset_parts(c, p)], listed("rated", CAND, c)),
+    }
     return out
 
 

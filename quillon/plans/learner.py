@@ -17,6 +17,7 @@ from quillon.operators.scaling import Scaler, scale
 from quillon.plans import chc
 from quillon.plans.params import Params
 from quillon.plans.schema import FuzzySchema, infer
+from quillon.sources.files import spread
 
 
 @dataclass
@@ -171,7 +172,7 @@ class FuzzyRuleClassifier:
 
         With `evolutionary`, rule selection follows.
         """
-        p, begun = self.params, time.time()
+        p, begun, df = self.params, time.time(), spread(df)
         schema = schema or infer(df, label, reals or [], nominals or [])
         data, scaled_schema, scaler = scale(df, schema, p.scale, bins=p.quantiles)
         stages = Stages(data, scaled_schema, p)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,11 @@ from quillon.operators import scaling as C
 from quillon.operators import scoring as S
 from quillon.operators import tuning as T
 from quillon.plans import chc
-from quillon.plans.learner import FuzzyRuleClassifier, Stages
+from quillon.plans.learner import FuzzyRuleClassifier, FuzzyRuleModel, Stages
 from quillon.plans.params import Params, parse_config, to_config
 from quillon.plans.schema import FuzzySchema, infer, parse_header
+from quillon.sources import files
+from quillon.sources.files import spread
 
 LABELS, BINS = 5, 1000
 P = Params(min_crisp_confidence=0.7, min_fuzzy_confidence=0.6, proportion_initial_rules_evolutionary=2, evolutionary=False)
@@ -30,6 +35,16 @@ RULES = (
 POPULATION = ((1, 1, 1, 1, 1, 1, 1, 1), (1, 0, 1, 1, 1, 0, 0, 0), (0, 1, 0, 1, 1, 1, 0, 1), (0, 0, 1, 0, 1, 0, 0, 0), (1, 1, 0, 0, 0, 0, 1, 1))
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir; a session with a local master and without it gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return f"{top.rstrip('/')}/quillon/{label}-{uuid.uuid4().hex}"
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -71,8 +86,8 @@ def class_cost(spark, sf_dir):
 
 
 def quantile_cuts(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return C.quantile_cuts(rows, ["l_extendedprice", "l_quantity"], BINS)
+    names = ["l_extendedprice", "l_quantity"]
+    return C.quantile_cuts(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*names)), names, BINS)
 
 
 def pit_transform(spark, sf_dir):
@@ -362,9 +377,78 @@ def itemset_ranking(spark, sf_dir):
     return _candidates(st.candidates(), st).orderBy(F.desc("support"), "items")
 
 
+def rule_numbers(spark, sf_dir):
+    """The numbers of the candidate rules: the order in which ties are decided."""
+    st = stages_f(spark, sf_dir)
+    return shown(st.pruned(), st, "rule")
+
+
+def candidates_checkpoint(spark, sf_dir):
+    """Candidate rules written to a folder and read again."""
+    st, path = stages_f(spark, sf_dir), work_folder(spark, "candidates")
+    files.write_candidates(st.pruned(), path)
+    return _candidates(files.read_candidates(spark, path), st)
+
+
+def delimited_rows(spark, sf_dir):
+    """Rows and header written as comma-separated text and read again, typed: sums by label and nominal value."""
+    df, path = X.value(spark, sf_dir).select(*X.G_VAL.names, "val"), work_folder(spark, "delimited")
+    schema = infer(df, "val", list(X.G_VAL.reals), list(X.G_VAL.nominals))
+    df.select(*schema.columns).write.mode("overwrite").csv(f"{path}/rows", ignoreLeadingWhiteSpace=False)
+    files.write_lines(spark, f"{path}/header", schema.to_header().splitlines())
+    again = files.read_table(spark, f"{path}/rows", files.read_schema(spark, f"{path}/header", LABELS))
+    return again.groupBy("val", "o_orderstatus", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"), F.round(F.min("c_acctbal"), 2).alias("least"))
+
+
+def training_cuts(spark, sf_dir):
+    """Cut points of the training orders, applied to the others."""
+    df, names = X.value(spark, sf_dir), list(X.G_VAL.reals)
+    train = df.where("o_orderkey % 4 <> 0")
+    scaler = C.Scaler.fit(train, infer(train, "val", names, list(X.G_VAL.nominals)), BINS)
+    return scaler.transform(df.where("o_orderkey % 4 = 0")).select("o_orderkey", *[r6(n).alias(n) for n in names])
+
+
+def fixed_model(spark, sf_dir) -> tuple[FuzzyRuleModel, DataFrame]:
+    """A model of the fixed rules, and the rows that it was fitted to."""
+    df = X.value(spark, sf_dir)
+    schema = infer(df, "val", list(X.G_VAL.reals), list(X.G_VAL.nominals))
+    schema = FuzzySchema(tuple(sorted(schema.variables, key=lambda v: X.G_VAL.names.index(v.name))), schema.label, schema.classes, schema.counts, schema.columns)
+    scaler = C.Scaler.fit(df, schema, BINS)
+    return FuzzyRuleModel(schema, P, fixed_rules(), I.fuzzy_sets(schema.scaled("uniform"), LABELS), scaler), df
+
+
+def saved_model_classify(spark, sf_dir):
+    """A model written to a folder and read again classifies the rows of a table."""
+    model, df = fixed_model(spark, sf_dir)
+    path = work_folder(spark, "model")
+    model.save(spark, path)
+    got = FuzzyRuleModel.load(spark, path).transform(df)
+    return got.select("o_orderkey", F.col("predicted_class").alias("class"), F.round("score", 5).alias("score"))
+
+
+def confusion_report(spark, sf_dir):
+    """The lines of the confusion report, written and read again."""
+    got, st = _classified(spark, sf_dir, "winning_rule")
+    path = work_folder(spark, "report")
+    files.write_lines(spark, path, files.confusion_lines(S.confusion(got, st.schema), st.schema.classes))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def chc_best(spark, sf_dir):
+    """The fitness that CHC reaches on the eight fixed rules: that of the best of all their subsets."""
+    st = stages_g(spark, sf_dir)
+    m = S.matching_matrix(st.data, st.schema, st.sets, fixed_rules(), LABELS).persist()
+    try:
+        found = chc.select_rules(m, fixed_rules(), len(st.schema.classes), st.schema.default_class(), Params(fitness="gm", max_evaluations=600, population_size=40))
+    finally:
+        m.unpersist()
+    return spark.createDataFrame([(round(found.best.value, 6),)], "best double")
+
+
 _ALL = (
     class_cost, quantile_cuts, pit_transform, pit_inverse, log_scaled, nominal_codes, crisp_labels, membership_long, crisp_cells, candidate_itemsets, frequent_itemsets, confidence_thresholds, confidence_thresholds_plain, top_itemsets, pruned_itemsets,
     rule_class_matching, rule_weights_pcf, rule_weights_cf, resolved_rules, topk_rules, topk_rules_plain, final_rules, rule_text, rulebase_stats, classify_winning, classify_additive, classify_selected, confusion_matrix, accuracy_stats, matching_matrix,
     chromosome_fitness, chc_select, chc_tune, fuzzyset_stats, recentred_sets, translated_sets, lateral_shift, gray_hamming, pcblx_bounds, histogram10, header_roundtrip, config_roundtrip, itemset_ranking,
+    rule_numbers, candidates_checkpoint, delimited_rows, training_cuts, saved_model_classify, confusion_report, chc_best,
 )
 QUERIES = {f.__name__: f for f in _ALL}

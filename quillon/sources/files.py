@@ -40,6 +40,21 @@ def read_table(spark: SparkSession, path: str, schema: FuzzySchema, on_missing:
     return raw.withColumns({c: bad(c) for c in real})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer parts than there are cores (a small file is one part); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def write_candidates(rows: DataFrame, path: str) -> None:
+    """Candidate rules (rule, itemset, len, support, cls, conf, classes) as a folder of Parquet, to go on from later."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 

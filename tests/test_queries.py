@@ -3,20 +3,20 @@ import pytest
 
 import __spark_entry__ as entry
 from quillon import oracles, queries
+from quillon.operators import rules as R
+from quillon.operators import scaling as C
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("class_cost", "quantile_cuts", "pit_transform", "pit_inverse", "log_scaled", "nominal_codes", "membership_long", "candidate_itemsets", "confidence_thresholds", "pruned_itemsets", "rule_class_matching", "final_rules", "classify_additive", "confusion_matrix", "accuracy_stats", "chromosome_fitness", "recentred_sets", "histogram10")
-
 
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "customer"):
+    for t in ("lineitem", "orders", "customer", "documents", "labels"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_same_rows_as_sql(spark, duck, name):
     df, twin = entry.queries()[name](spark, SF), duck.sql(oracles.SQL[name])
     cols = sorted(df.columns)
@@ -32,3 +32,22 @@ def test_entry(spark):
 
 def test_every_twin_has_a_query():
     assert set(oracles.SQL) <= set(queries.QUERIES)
+    assert set(queries.QUERIES) - set(oracles.SQL) == {"chc_select", "chc_tune"}
+
+
+def test_many_rules_go_in_slices(spark):
+    st = queries.stages_g(spark, SF)
+    rules = [r["itemset"] for r in st.pruned().orderBy("rule").select("itemset").collect()]
+    one, many = ({(r["rule"], r["cls"]): r["m"] for r in R.class_matching(st.data, st.schema, st.sets, rules, st.p, most_rules=m).collect()} for m in (10**6, 50))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 1e-9 * abs(one[k]) for k in one)
+
+
+def test_transform_is_the_same_in_both_engines(spark):
+    cuts = [0.0, 0.0, 0.0, 1.0, 2.0, 2.0, 5.0, 5.0, 5.0, 5.0, 9.0]
+    values = [-3.0, 0.0, 0.5, 1.0, 2.0, 3.0, 5.0, 9.0, 10.0, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for tie in ("bisect", "left"):
+        for own in (cuts, []):
+            scaler = C.Scaler({"x": own}, {"x": (-1.0, 9.0)}, tie)
+            a, b = ([r["x"] for r in scaler.transform(df, engine=e).collect()] for e in ("arrow", "sql"))
+            assert a == b
