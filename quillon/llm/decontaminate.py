@@ -7,7 +7,7 @@ retrieves all entries at or above it. Passages that cannot reach it for any entr
 without which none can get there (the essential lists) stand in them, are passed over at once. Each one retrieved is verified: of the question's and of the
 answer's five-word shingles enough must stand in the passage.
 
-An item is a question and an answer if the table has both columns. Of a single text, the last fifth of
+An item is a question and an answer if its row has a value in a column of one of these names. Of a single text, the last fifth of
 the words is reported as the answer, but as that is only assumed, the whole text's shingles decide. The index is as large as the benchmark: one of up to `most_words` words
 is sent to every task; a larger one is taken in parts of that size, each over all documents and with the
 whole benchmark's document frequencies, number of entries and mean length, so scores are those of one index.
@@ -26,6 +26,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.common import cut, id_text, through
 
@@ -33,7 +34,7 @@ WORD = re.compile(r"\w+")
 ENTRY, SHINGLE, BLOCK = 64, 5, 16
 K1, B = 1.2, 0.75
 LEAST_THRESHOLD = 0.4  # thresholds below it are refused
-OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
+OUT = "score double, question_overlap double, answer_overlap double, first_word long, last_word long"  # after the two ids
 
 
 def words_of(text: str | None) -> list[str]:
@@ -205,7 +206,7 @@ def parts_of(benchmark: DataFrame, id_col: str, text_col: str, most_words: int)
     """The benchmark as one part, or as hashed parts of about most_words words, if it holds more."""
     has = benchmark.columns
     pick = lambda n: (benchmark[n] if n in has else F.lit(None)).cast("string").alias(n if n != text_col else "text")
-    rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), pick(text_col), *[pick(n) for n in ("question", "answer")])
+    rows = benchmark.select(benchmark[id_col].alias("item_id"), pick(text_col), *[pick(n) for n in ("question", "answer")])
     size = rows.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in ("text", "question", "answer")))).first()[0] or 0
     n = -(-size // (5 * most_words)) or 1
     return [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
@@ -247,14 +248,18 @@ def check(threshold: float) -> None:
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """One row for each document and test item it holds."""
     check(threshold)
-    rows, found = id_text(docs, id_col, text_col), None
+    rows, found, kind = id_text(docs, id_col, text_col), None, benchmark.schema[item_col].dataType
     for index in indexes(benchmark, item_col, item_text, most_words):
         box = docs.sparkSession.sparkContext.broadcast(index)
-        found = part_leaks(rows, box, threshold, overlap) if found is None else found.unionByName(part_leaks(rows, box, threshold, overlap))
+        own = part_leaks(rows, box, threshold, overlap, kind)
+        found = own if found is None else found.unionByName(own)
     return found
 
 
-def part_leaks(rows: DataFrame, box, threshold: float, overlap: float) -> DataFrame:
+def part_leaks(rows: DataFrame, box, threshold: float, overlap: float, item_type) -> DataFrame:
+    fields = [("doc_id", rows.schema["doc_id"].dataType.simpleString()), ("item_id", item_type.simpleString()), *[tuple(f.split()) for f in OUT.split(", ")]]
+    kinds = [to_arrow_type(rows.schema["doc_id"].dataType), to_arrow_type(item_type)]
+
     def run(batches):
         import pyarrow as pa
 
@@ -262,11 +267,10 @@ def part_leaks(rows: DataFrame, box, threshold: float, overlap: float) -> DataFr
         for b in batches:
             out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for x in index.leaks(words_of(t.as_py()), threshold, overlap)]
             cols = list(zip(*out)) or [[]] * 7
-            kinds = {"long": pa.int64(), "double": pa.float64()}
-            fields = [f.split() for f in OUT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], [n for n, _ in fields])
+            types = kinds + [pa.float64()] * 3 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [n for n, _ in fields])
 
-    return through(rows, run, OUT)
+    return through(rows, run, ", ".join(f"{n} {t}" for n, t in fields))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:

@@ -9,7 +9,8 @@ Shards are written by tasks through pyarrow's filesystems to a new name each try
 manifest table; files of tries that failed are never in the manifest.
 
 Defined cases: null texts are empty documents (just the end id); null ids sort first and are held as
-such; repeated ids are all kept, in the order of their token bytes; an empty table gives an empty manifest.
+such; repeated ids are all kept, in the order of a hash of their text; very long texts are encoded whole, as one entry
+of one block; an empty table gives an empty manifest; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ Windows of `WIDTH` words overlap; every window of the whole text is scored and a
 score of its highest window. Training is numpy in one task over a bounded sample of labelled rows, so
 neither their texts nor the training take memory of the driver.
 
-Defined cases: texts that are null or hold no word score 0; one-word texts are one window; rows
-repeat as they are; an empty table gives no rows; with labels of one kind only, or none, every score
+Defined cases: texts that are null or hold no word score 0; one-word texts are one window; very long texts are
+scored whole, window by window; rows repeat as they are; an empty table gives no rows; with labels of one kind only, or none, every score
 is that kind's share (0 without labels). Only text and the given label are ever read.
 """
 

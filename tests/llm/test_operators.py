@@ -409,6 +409,13 @@ def test_scores_do_not_depend_on_the_parts_of_the_index(spark):
     assert [x[:2] for x in one] == [x[:2] for x in many] and np.allclose([x[2] for x in one], [x[2] for x in many], rtol=1e-12) and one
 
 
+def test_decontamination_with_ids_of_text(spark):
+    words = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([("a", f"x {words} y", 1), (None, words, 1), ("c", None, 1)], "doc_id string, text string, score int")
+    bench = spark.createDataFrame([("one", words), (None, words), ("two", None)], "item_id string, text string")
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontaminate.find(docs, bench).collect()) == [("None", "None"), ("None", "one"), ("a", "None"), ("a", "one")]
+
+
 def test_decontamination_against_brute_force(spark, docs, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
