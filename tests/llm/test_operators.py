@@ -556,3 +556,21 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
     from quillon.llm.common import shared_dir
 
     assert shared_dir(spark).startswith("file:///")
+
+
+def test_lm_learns_more_from_a_share_of_all_documents(spark, docs, odd):
+    rows = docs.unionByName(odd.select(*docs.columns)).unionByName(docs.where("doc_id = 1"))  # a very long text, nulls, a repeated row
+    counts = lm.count(rows, F.lit(True)).persist()
+    start, one, all_ = (lm.fit(rows, counts, F.lit(True), most_docs=50, share=s) for s in (0, 0, 0))
+    keyed = rows.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    lm.learn_more(one, keyed, 1, chars_a_part=10**9)
+    lm.learn_more(all_, keyed, 1, chars_a_part=200_000)
+    # one part is plain training on all of them, whatever their length
+    plain = start.net.copy()
+    plain.train([start.for_net(start.ids(lm.tokens_of(r.text))) for r in sorted(keyed.distinct().collect())], lanes=128, passes=1, rate=0.002)
+    for k, w in one.net.p.items():
+        assert np.allclose(w, plain.p[k], atol=1e-5) and w.dtype == plain.p[k].dtype
+    # parts apart learn, too
+    own = [start.for_net(start.ids(lm.tokens_of(r.text))) for r in docs.collect()]
+    assert all_.net.score(own).sum() > start.net.score(own).sum() and one.net.score(own).sum() > start.net.score(own).sum()
+    assert not np.array_equal(start.net.p["emb"], all_.net.p["emb"])
