@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from quillon.llm.quality import LADDERS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,4 +36,18 @@ chosen AS (SELECT stratum, f, max_by(cutoff, i) AS cutoff FROM (SELECT *, min(ok
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {lost}) AS kept FROM rated b"""
 
 
-SQL = {"op1_quality": op1_sql()}
+def op7_sql(n: int = 4, percent: int = 85) -> str:
+    """All pairs that share a shingle, by a join; components by following links from every document."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * s.n >= {percent} * (p.n + q.n - s.n)),
+reach AS (SELECT a AS doc_id, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+SQL = {"op1_quality": op1_sql(), "op7_jaccard_join": op7_sql()}

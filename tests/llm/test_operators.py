@@ -5,6 +5,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillon.llm import decontaminate, html_blocks, jaccard, langid, lm, packing, quality, queries, secrets, sstable, tokens, toxicity
 from quillon.llm.common import crc_mod
+from quillon.llm.sql import SQL
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = queries.VOCABULARY
@@ -287,6 +289,16 @@ def test_jaccard_join(spark, docs, odd, none):
     assert jaccard.join(none).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df, twin = queries.QUERIES[name](spark, SF), con.sql(SQL[name])
+    got = [tuple(r[c] for c in twin.columns) for r in df.collect()]
+    assert set(twin.columns) <= set(df.columns) and sorted(got) == sorted(twin.fetchall())
+
+
 def test_jaccard_join_on_large_groups_of_near_copies(spark):
     texts = near_copies(np.random.default_rng(5), 2, 90, 150, 5) + ["short"] * 3 + near_copies(np.random.default_rng(6), 20, 3, 12, 1)
     check_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
