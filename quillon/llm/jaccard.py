@@ -3,8 +3,8 @@
 Documents with equal sets of n-grams are one row of the matrix. Two rows can reach the threshold t only if
 they share one of the n - ceil(t n) + 1 columns that come first in a fixed order of all columns (rarer first,
 as a bounded sample sees it: the order steers only the cost, never the result). The product over
-these columns names the pairs; pairs whose sizes rule out the threshold are discarded at once; for the
-rest the overlap is counted over all columns and compared exactly.
+these columns names the pairs; pairs whose sizes, or whose overlap over these columns, rule out the threshold
+are discarded at once; for the rest the overlap is counted over all columns and compared exactly.
 
 The product is taken in two passes, so that no group's pairs are all written out. First each row goes, in
 each of a few turns, to one block: rows that share a column, as many as a task can take. A block's product is
@@ -190,6 +190,19 @@ def room(na, ia, nb, ib, percent: int):
     return F.least(na - ia, nb - ib) >= least_overlap(na, nb, percent)
 
 
+def within_reach(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, counted over their first columns, leaves the threshold within reach.
+
+    One of the two lists ends earlier in the order of the columns. What both rows share up to there stands in both
+    lists; the rest is at most what that row has beyond its list. So far fewer whole sets are moved to be compared.
+    """
+    left = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
+    right = lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
+    beyond = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
+    both = F.size(F.array_intersect("fa", "fb"))
+    return pairs.join(left, "a").join(right, "b").where(both + beyond >= least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose overlap, counted over all columns, reaches the threshold."""
     sets = cut(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, n), "join-sets")
@@ -264,7 +277,7 @@ def block_product(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, n: int,
     return cut(sets.groupBy("h", "part").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "join-edges")
 
 
-def across_blocks(posts: DataFrame, comps: DataFrame, blocks: list[DataFrame], nodes: DataFrame, rows: DataFrame, n: int, percent: int, most_pairs: int) -> DataFrame:
+def across_blocks(posts: DataFrame, lists: DataFrame, comps: DataFrame, blocks: list[DataFrame], nodes: DataFrame, rows: DataFrame, n: int, percent: int, most_pairs: int) -> DataFrame:
     """Edges (a, b) that connect what links across components and blocks connect: the second pass.
 
     Of a column's rows most are often of one component by now. They need not meet each other, only the rest: a
@@ -291,7 +304,8 @@ def across_blocks(posts: DataFrame, comps: DataFrame, blocks: list[DataFrame], n
 
     few = told.where("not full")
     pairs = pairs_of(few.where("leads and rest"), few).unionByName(pairs_of(few.where("leads and not rest"), few.where("rest")))
-    found = verified(cut(pairs.distinct(), "join-across"), nodes, rows, n, percent)
+    pairs = within_reach(cut(pairs.distinct(), "join-across"), lists, percent)
+    found = verified(cut(pairs, "join-reach"), nodes, rows, n, percent)
     if by.where("full").isEmpty():
         return found
     return found.unionByName(tiles(told.where("full"), by.where("full"), nodes, rows, n, percent))
@@ -338,7 +352,7 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_c
         found = block_product(blocks[-1], nodes, rows, n, percent)
         edges = found if edges is None else edges.unionByName(found)
         comps = cut(components(edges, "join-comps"), "join-linked")
-    across = across_blocks(posts, comps, blocks, nodes, rows, n, percent, most_pairs)
+    across = across_blocks(posts, lists, comps, blocks, nodes, rows, n, percent, most_pairs)
     comps = cut(components(edges.unionByName(across), "join-comps"), "join-final")
     # from nodes to ids: the least id of a component, then of each set
     ids = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
