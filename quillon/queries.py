@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -45,8 +46,19 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{top.rstrip('/')}/quillon/{label}-{uuid.uuid4().hex}"
 
 
+def rounded(c, digits: int):
+    """Half away from zero after c * 10**digits, in doubles, as the SQL twins round.
+
+    F.round takes a double's shortest decimal form instead, so the two part on ties such as 0.0629005.
+    """
+    unit = 10.0**digits
+    if isinstance(c, float):
+        return math.copysign(math.floor(abs(c) * unit) + (abs(c) * unit % 1 >= 0.5), c) / unit
+    return F.round((F.col(c) if isinstance(c, str) else c) * unit) / F.lit(unit)
+
+
 def r6(c):
-    return F.round(c, 6)
+    return rounded(c, 6)
 
 
 def prepared(spark: SparkSession, sf_dir: str, fixture: X.Fixture, rows, p: Params = P) -> Stages:
@@ -103,14 +115,14 @@ def pit_inverse(spark, sf_dir):
     schema = infer(df, "tier", ["l_extendedprice"], [])
     scaler = C.Scaler.fit(df.select("l_extendedprice", "tier"), schema, BINS)
     grid = spark.range(0, 2001).select((F.col("id") / 2000.0).alias("u"))
-    return grid.select("u", F.round(scaler.inverse(F.col("u"), "l_extendedprice"), 4).alias("value"))
+    return grid.select("u", rounded(scaler.inverse(F.col("u"), "l_extendedprice"), 4).alias("value"))
 
 
 def log_scaled(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     lo, hi = rows.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
     b = Z.log_bounds(lo, hi)
-    return rows.select("c_custkey", r6(Z.log_scale(F.col("c_acctbal"), lo)).alias("logged"), F.lit(round(b[0], 6)).alias("lo"), F.lit(round(b[1], 6)).alias("hi"))
+    return rows.select("c_custkey", r6(Z.log_scale(F.col("c_acctbal"), lo)).alias("logged"), F.lit(r6(b[0])).alias("lo"), F.lit(r6(b[1])).alias("hi"))
 
 
 def nominal_codes(spark, sf_dir):
@@ -135,7 +147,7 @@ def membership_long(spark, sf_dir):
     at = R.slots(st.schema, LABELS)
     mu = st.data.select(R.memberships(st.schema, st.sets).alias("mu"))
     cells = F.array(*[F.struct(F.lit(i // I.STEP).alias("var"), F.lit(i % I.STEP).alias("label"), F.get("mu", k).alias("m")) for i, k in at.items()])
-    return mu.select(F.inline(cells)).groupBy("var", "label").agg(F.round(F.sum("m"), 3).alias("total"), F.sum((F.col("m") > 0).cast("long")).alias("n"))
+    return mu.select(F.inline(cells)).groupBy("var", "label").agg(rounded(F.sum("m"), 3).alias("total"), F.sum((F.col("m") > 0).cast("long")).alias("n"))
 
 
 # itemsets
@@ -186,11 +198,11 @@ def pruned_itemsets(spark, sf_dir):
 
 def rule_class_matching(spark, sf_dir):
     st = stages_f(spark, sf_dir)
-    return shown(st.matching().join(F.broadcast(st.pruned().select("rule", "itemset", "len")), "rule"), st, class_name(st), F.round("m", 2).alias("m"))
+    return shown(st.matching().join(F.broadcast(st.pruned().select("rule", "itemset", "len")), "rule"), st, class_name(st), rounded("m", 2).alias("m"))
 
 
 def _weights(st):
-    return shown(st.weighted(), st, class_name(st), F.round("weight", 5).alias("weight"), F.round("support", 5).alias("support"), F.round("conf", 5).alias("conf"))
+    return shown(st.weighted(), st, class_name(st), rounded("weight", 5).alias("weight"), rounded("support", 5).alias("support"), rounded("conf", 5).alias("conf"))
 
 
 def rule_weights_pcf(spark, sf_dir):
@@ -202,7 +214,7 @@ def rule_weights_cf(spark, sf_dir):
 
 
 def _rules(df, st):
-    return shown(df, st, class_name(st), F.round("weight", 5).alias("weight"), F.round("support", 5).alias("support"), F.round("conf", 5).alias("conf"))
+    return shown(df, st, class_name(st), rounded("weight", 5).alias("weight"), rounded("support", 5).alias("support"), rounded("conf", 5).alias("conf"))
 
 
 def resolved_rules(spark, sf_dir):
@@ -233,7 +245,7 @@ def rule_text(spark, sf_dir):
 def rulebase_stats(spark, sf_dir):
     st = stages_f(spark, sf_dir)
     got = R.statistics(st.final(), st.schema)
-    return got.select("class", "n_rules", r6("mean_len").alias("mean_len"), F.round("mean_weight", 5).alias("mean_weight"))
+    return got.select("class", "n_rules", r6("mean_len").alias("mean_len"), rounded("mean_weight", 5).alias("mean_weight"))
 
 
 # scoring, on fixed rules
@@ -250,7 +262,7 @@ def _classified(spark, sf_dir, inference):
 
 def _scored(spark, sf_dir, inference):
     got, st = _classified(spark, sf_dir, inference)
-    return got.select("o_orderkey", class_name(st, "prediction"), F.round("score", 5).alias("score"))
+    return got.select("o_orderkey", class_name(st, "prediction"), rounded("score", 5).alias("score"))
 
 
 def classify_winning(spark, sf_dir):
@@ -266,7 +278,7 @@ def classify_selected(spark, sf_dir):
     st = stages_g(spark, sf_dir)
     rules = [r for r, on in zip(fixed_rules(), POPULATION[1]) if on]
     got = S.predicted(st.data, st.schema, st.sets, rules, LABELS, engine="sql")
-    return got.select("o_orderkey", class_name(st, "prediction"), F.round("score", 5).alias("score"))
+    return got.select("o_orderkey", class_name(st, "prediction"), rounded("score", 5).alias("score"))
 
 
 def confusion_matrix(spark, sf_dir):
@@ -284,14 +296,14 @@ def matching_matrix(spark, sf_dir):
     """Sums of the weighted matching of every rule, by class."""
     st = stages_g(spark, sf_dir)
     m = S.matching_matrix(st.data, st.schema, st.sets, fixed_rules(), LABELS)
-    return m.select("cls", F.posexplode("m").alias("rule", "x")).groupBy(class_name(st), F.col("rule").cast("int").alias("rule")).agg(F.round(F.sum("x"), 3).alias("total"))
+    return m.select("cls", F.posexplode("m").alias("rule", "x")).groupBy(class_name(st), F.col("rule").cast("int").alias("rule")).agg(rounded(F.sum("x"), 3).alias("total"))
 
 
 def chromosome_fitness(spark, sf_dir):
     st = stages_g(spark, sf_dir)
     m = S.matching_matrix(st.data, st.schema, st.sets, fixed_rules(), LABELS)
     tables = S.population_confusion(m, np.array(POPULATION, bool), [c for _, c, _ in RULES], len(st.schema.classes), st.schema.default_class(), "winning_rule")
-    rows = [(k, int(sum(genes)), *(round(S.fitness(S.measures_of(t, name), len(RULES), sum(genes)), 6) for name in ("accuracy", "gm", "avgacc"))) for k, (genes, t) in enumerate(zip(POPULATION, tables))]
+    rows = [(k, int(sum(genes)), *(r6(S.fitness(S.measures_of(t, name), len(RULES), sum(genes))) for name in ("accuracy", "gm", "avgacc"))) for k, (genes, t) in enumerate(zip(POPULATION, tables))]
     return spark.createDataFrame(rows, "chrom int, k int, by_accuracy double, by_gm double, by_avg double")
 
 
@@ -317,13 +329,13 @@ def chc_tune(spark, sf_dir):
 
 def fuzzyset_stats(spark, sf_dir):
     st = stages_f(spark, sf_dir)
-    return T.set_statistics(st.data, st.schema, st.sets).select("var", "label", F.round("total", 3).alias("total"), "n")
+    return T.set_statistics(st.data, st.schema, st.sets).select("var", "label", rounded("total", 3).alias("total"), "n")
 
 
 def recentred_sets(spark, sf_dir):
     st = stages_f(spark, sf_dir)
     got = T.recentred(T.set_statistics(st.data, st.schema, st.sets), st.schema, st.sets)
-    return got.select("var", "label", *[F.round(c, 5).alias(c) for c in ("l", "m", "r")])
+    return got.select("var", "label", *[rounded(c, 5).alias(c) for c in ("l", "m", "r")])
 
 
 def translated_sets(spark, sf_dir):
@@ -332,13 +344,13 @@ def translated_sets(spark, sf_dir):
     schema = infer(df, "tier", ["l_extendedprice"], [])
     scaler = C.Scaler.fit(df.select("l_extendedprice", "tier"), schema, BINS)
     sets = scaler.translate(Z.partition(0.0, 1.0, LABELS), "l_extendedprice")
-    return spark.createDataFrame([(j, *(round(float(x), 4) for x in (s.left, s.mid, s.right))) for j, s in enumerate(sets)], "label int, l double, m double, r double")
+    return spark.createDataFrame([(j, *(rounded(float(x), 4) for x in (s.left, s.mid, s.right))) for j, s in enumerate(sets)], "label int, l double, m double, r double")
 
 
 def lateral_shift(spark, sf_dir):
     genes = (0.5, 0.25, 0.75, 0.1, 0.9)
     sets = Z.displaced(Z.partition(0.0, 1.0, LABELS), list(genes))
-    return spark.createDataFrame([(j, *(round(x, 6) for x in (s.left, s.mid, s.right))) for j, s in enumerate(sets)], "label int, l double, m double, r double")
+    return spark.createDataFrame([(j, *(r6(float(x)) for x in (s.left, s.mid, s.right))) for j, s in enumerate(sets)], "label int, l double, m double, r double")
 
 
 def gray_hamming(spark, sf_dir):
@@ -353,7 +365,7 @@ def pcblx_bounds(spark, sf_dir):
 
 
 def histogram10(spark, sf_dir):
-    return T.histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice").select("bin", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n")
+    return T.histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice").select("bin", rounded("lo", 4).alias("lo"), rounded("hi", 4).alias("hi"), "n")
 
 
 def header_roundtrip(spark, sf_dir):
@@ -397,7 +409,7 @@ def delimited_rows(spark, sf_dir):
     df.select(*schema.columns).write.mode("overwrite").csv(f"{path}/rows", ignoreLeadingWhiteSpace=False)
     files.write_lines(spark, f"{path}/header", schema.to_header().splitlines())
     again = files.read_table(spark, f"{path}/rows", files.read_schema(spark, f"{path}/header", LABELS))
-    return again.groupBy("val", "o_orderstatus", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"), F.round(F.min("c_acctbal"), 2).alias("least"))
+    return again.groupBy("val", "o_orderstatus", "c_mktsegment").agg(F.count("*").alias("n"), rounded(F.sum("o_totalprice"), 2).alias("price"), rounded(F.min("c_acctbal"), 2).alias("least"))
 
 
 def training_cuts(spark, sf_dir):
@@ -423,7 +435,7 @@ def saved_model_classify(spark, sf_dir):
     path = work_folder(spark, "model")
     model.save(spark, path)
     got = FuzzyRuleModel.load(spark, path).transform(df)
-    return got.select("o_orderkey", F.col("predicted_class").alias("class"), F.round("score", 5).alias("score"))
+    return got.select("o_orderkey", F.col("predicted_class").alias("class"), rounded("score", 5).alias("score"))
 
 
 def confusion_report(spark, sf_dir):
@@ -442,7 +454,7 @@ def chc_best(spark, sf_dir):
         found = chc.select_rules(m, fixed_rules(), len(st.schema.classes), st.schema.default_class(), Params(fitness="gm", max_evaluations=600, population_size=40))
     finally:
         m.unpersist()
-    return spark.createDataFrame([(round(found.best.value, 6),)], "best double")
+    return spark.createDataFrame([(r6(float(found.best.value)),)], "best double")
 
 
 _ALL = (

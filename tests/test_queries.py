@@ -51,3 +51,23 @@ def test_transform_is_the_same_in_both_engines(spark):
             scaler = C.Scaler({"x": own}, {"x": (-1.0, 9.0)}, tie)
             a, b = ([r["x"] for r in scaler.transform(df, engine=e).collect()] for e in ("arrow", "sql"))
             assert a == b
+
+
+def test_scaled_ties_round_as_in_sql(spark, tmp_path):
+    """Every second price lies an odd number of 2000ths between its cut points: the seventh decimal is a 5."""
+    path = f"{tmp_path}/lineitem.parquet"
+    price = "CAST(2000 * i + CASE WHEN j = 0 THEN 2 * ((i * 37) % 999) + 1 - 2000 ELSE 0 END AS DOUBLE)"
+    duckdb.sql(f"copy (select 1.0::double l_quantity, {price} l_extendedprice, 0.05::double l_discount, 0.02::double l_tax, 'A' l_returnflag, 'F' l_linestatus from range(1, 1001) a(i), range(2) b(j)) to '{path}'")
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{path}'")
+    got = sorted(map(tuple, entry.queries()["pit_transform"](spark, str(tmp_path)).select("var", "value", "n").collect()))
+    assert got == sorted(c.sql(oracles.SQL["pit_transform"]).select("var, value, n").fetchall())
+    assert sum(r[0] == 1 for r in got) > 1900
+
+
+def test_rounded_is_the_rounding_of_sql(spark):
+    x = [s * (k + 0.5) / 10**6 for k in range(3000) for s in (1, -1)] + [0.0, 0.49999999999999994e-6, 1 / 3, 123456789.0123455]
+    want = [r[0] for r in duckdb.execute("select round(v, 6) from (select unnest(?::double[]) as v)", [x]).fetchall()]
+    df = spark.createDataFrame([(v,) for v in x], "v double").coalesce(1)
+    assert [r[0] for r in df.select(queries.rounded("v", 6)).collect()] == want == [queries.rounded(v, 6) for v in x]
+    assert df.limit(1).select(queries.rounded(queries.F.lit(None).cast("double"), 6)).first()[0] is None
