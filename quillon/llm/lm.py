@@ -3,10 +3,10 @@
 Counts of all training tokens are taken by Spark and stay a table. The `SHORT` commonest tokens are
 the network's words; every other token is the word "rest", whose probability is shared out by the
 counts, so the model gives a proper distribution over the known tokens and one unseen token. It is
-trained in numpy by truncated backpropagation: first on a bounded sample of training documents, then on
-one in `share` of all training documents, whatever their length, so what it learns from grows with the
-corpus. For that they are dealt to parts by a hash; each part goes on from the same network in a task of
-its own, and the networks are averaged by their tokens. Documents are scored whole, in windows that hand
+trained in numpy by truncated backpropagation: a bounded sample of training documents gives the weights to
+start from, then it learns from every training document, whatever its length. For that they are dealt to
+parts by a hash; each part goes on from the same network in a task of its own, and the networks are averaged
+by their tokens. Documents are scored whole, in windows that hand
 on the state.
 
 Tokens outside the `most_top` commonest are joined with the table of counts, which may grow without
@@ -62,6 +62,36 @@ def count(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
+def step(u: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The next state (HID x lanes) into out, what the second gate lets through of the last; g becomes gates and candidate."""
+    hu = u @ h
+    zr, n = g[: 2 * HID], g[2 * HID :]
+    zr += hu[: 2 * HID]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    n += zr[HID:] * hu[2 * HID :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= zr[:HID]
+    out += n
+    return hu[2 * HID :]
+
+
+def by_word(words: np.ndarray) -> np.ndarray:
+    """The order of the words, whose classes are runs; 16 bits are sorted by radix."""
+    return np.argsort(words.astype(np.uint16), kind="stable")
+
+
+def log_softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Over w's rows for each column of h, that of its own row."""
+    e = w @ h
+    e += b[:, None]
+    e -= e.max(axis=0)
+    of = e[own, np.arange(h.shape[1])]
+    return of - np.log(np.exp(e, out=e).sum(axis=0))
+
+
 class Net:
     """Words are numbered so that each class is a run of ids: class 0 is "rest", class 1 the end."""
 
@@ -82,42 +112,34 @@ class Net:
         own.edges, own.cls, own.p = self.edges, self.cls, {k: v.copy() for k, v in self.p.items()}
         return own
 
-    def states(self, h: np.ndarray, inputs: np.ndarray, keep: list | None = None, gates: np.ndarray | None = None) -> np.ndarray:
-        """h: lanes x HID; inputs: steps x lanes -> steps x lanes x HID. Input -1 starts from nothing."""
-        p = self.p
-        gates = p["emb"] @ p["wx"] + p["bx"] if gates is None else gates
-        out = np.empty((*inputs.shape, HID), np.float32)
+    def gates(self, words: np.ndarray | slice = slice(None)) -> tuple:
+        """What each of the words and each state put into the gates; halves for the two that are squashed by a sigmoid."""
+        half = np.repeat(np.float32([0.5, 0.5, 1]), HID)
+        table = self.p["emb"][words] @ (self.p["wx"] * half)
+        table += self.p["bx"] * half
+        return table, np.ascontiguousarray((self.p["u"] * half).T)
+
+    def states(self, h: np.ndarray, inputs: np.ndarray, gates: tuple | None = None) -> np.ndarray:
+        """h: lanes x HID; inputs: steps x lanes -> steps x lanes x HID, held by columns."""
+        table, u = gates or self.gates()
+        out, h = np.empty((len(inputs), HID, inputs.shape[1]), np.float32), np.ascontiguousarray(h.T)
         for t, x in enumerate(inputs):
-            g = gates[x]
-            hu = h @ p["u"]
-            zr = g[:, : 2 * HID] + hu[:, : 2 * HID]
-            np.tanh(zr * 0.5, out=zr)
-            zr = zr * 0.5 + 0.5
-            z, r, m = zr[:, :HID], zr[:, HID:], hu[:, 2 * HID :]
-            n = np.tanh(g[:, 2 * HID :] + r * m)
-            if keep is not None:
-                keep.append((h, z, r, m, n))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
+            step(u, h, np.ascontiguousarray(table[x].T), out[t])
+            h = out[t]
+        return out.transpose(0, 2, 1)
 
     def log_prob(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability after its state."""
-        p, cls = self.p, self.cls[words]
-        logit = h @ p["wc"] + p["bc"]
-        top = logit.max(axis=1, keepdims=True)
-        out = logit[np.arange(len(h)), cls] - top[:, 0] - np.log(np.exp(logit - top).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.edges)))
+        p, order = self.p, by_word(words)
+        words, h = words[order], np.ascontiguousarray(h[order].T)
+        own = log_softmax(p["wc"].T, p["bc"], h, self.cls[words])
+        ends = np.searchsorted(words, self.edges)
         for k in range(2, len(self.edges) - 1):
-            at = order[ends[k] : ends[k + 1]]
-            a, b = self.edges[k], self.edges[k + 1]
-            if len(at) and b - a > 1:
-                logit = h[at] @ p["ww"][a:b].T + p["bw"][a:b]
-                top = logit.max(axis=1)
-                own = logit[np.arange(len(at)), words[at] - a]
-                logit -= top[:, None]
-                out[at] += own - top - np.log(np.exp(logit, out=logit).sum(axis=1))
+            lo, hi, a, b = ends[k], ends[k + 1], self.edges[k], self.edges[k + 1]
+            if hi > lo and b - a > 1:
+                own[lo:hi] += log_softmax(p["ww"][a:b], p["bw"][a:b], h[:, lo:hi], words[lo:hi] - a)
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -128,7 +150,7 @@ class Net:
         size = size[order]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
         flat = np.concatenate([docs[i] for i in order] + [np.full(STEPS + 1, END, np.int32)]).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
-        gates = self.p["emb"] @ self.p["wx"] + self.p["bx"]
+        gates = self.gates()
         h = np.zeros((len(docs), HID), np.float32)
         for t in range(0, int(size.max(initial=0)), STEPS):
             lanes = int(np.searchsorted(-size, -t, "left"))  # those with more than t words
@@ -140,72 +162,129 @@ class Net:
             h = s[-1]
             real = (t + np.arange(steps)) < size[:lanes, None]
             row, col = np.nonzero(real)
-            total[order[:lanes]] += np.bincount(row, self.log_prob(s[col, row], words[row, col]), lanes)
+            total[order[:lanes]] += np.bincount(row, self.log_prob(np.ascontiguousarray(s)[col, row], words[row, col]), lanes)
         return total
 
     def train(self, docs: list[np.ndarray], lanes: int = 64, steps: int = 16, passes: int = 2, rate: float = 0.005) -> None:
-        """Truncated backpropagation over lanes of whole documents; each starts from no state."""
-        p, rng = self.p, np.random.default_rng(5)
-        m1, m2, n = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+        """Truncated backpropagation over lanes of whole documents; each starts from no state.
+
+        Lanes are of one length; the last is filled with the first words again.
+        """
+        rng = np.random.default_rng(5)
+        sizes = {k: v.size for k, v in self.p.items()}
+        flat_p = np.concatenate([v.ravel() for v in self.p.values()])
+        flat_g, m1, m2, n = np.zeros_like(flat_p), np.zeros_like(flat_p), np.zeros_like(flat_p), 0
+        ends = np.cumsum([0, *sizes.values()])
+        part = lambda a: {k: a[lo:hi].reshape(v.shape) for (k, v), lo, hi in zip(shapes.items(), ends[:-1], ends[1:])}
+        shapes = self.p
+        p, grad = part(flat_p), part(flat_g)
+        self.p = p
+        one, two = np.empty_like(flat_p), np.empty_like(flat_p)
         for turn in range(passes):
             order = rng.permutation(len(docs))
             flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
             lanes = max(1, min(lanes, len(flat) // (4 * steps)))
-            long = len(flat) // lanes
+            long = -(-len(flat) // lanes)
             if not long:
                 return
-            words = flat[: lanes * long].reshape(lanes, long).T
+            words = np.ascontiguousarray(np.resize(flat, lanes * long).reshape(lanes, long).T)
             before = np.concatenate([np.full((1, lanes), END), words[:-1]])
-            h = np.zeros((lanes, HID), np.float32)
+            h = np.zeros((HID, lanes), np.float32)
             for t in range(0, long, steps):
-                w, x, keep = words[t : t + steps], before[t : t + steps], []
-                gates = p["emb"] @ p["wx"] + p["bx"]
-                s = np.empty((*w.shape, HID), np.float32)
-                for i in range(len(w)):  # a document's first word has no state behind it
-                    s[i] = h = self.states(np.where((x[i] == END)[:, None], 0, h).astype(np.float32), x[i : i + 1], keep, gates)[0]
-                g = self._output_gradient(s.reshape(-1, HID), w.reshape(-1))
-                ds, dh = g.pop("h").reshape(s.shape), np.zeros_like(h)
-                dg, g["u"] = np.empty((*w.shape, 3 * HID), np.float32), np.zeros_like(p["u"])
+                w, x = words[t : t + steps], before[t : t + steps]
+                go = (x != END).astype(np.float32)[:, None, :]  # a document's first word has no state behind it
+                at = by_word(x.reshape(-1))
+                new = np.diff(x.reshape(-1)[at], prepend=-1) > 0
+                first, place = np.flatnonzero(new), np.empty(len(at), np.int64)
+                place[at] = np.cumsum(new) - 1
+                place, own = place.reshape(x.shape), x.reshape(-1)[at[first]]  # x is own[place]
+                table, u = self.gates(own)
+                gates = np.empty((len(w), 3 * HID, lanes), np.float32)
+                s, h0, hm = (np.empty((len(w), HID, lanes), np.float32) for _ in range(3))
+                for i in range(len(w)):
+                    gates[i] = table[place[i]].T
+                    np.multiply(h, go[i], out=h0[i])
+                    hm[i] = step(u, h0[i], gates[i], s[i])
+                    h = s[i]
+                ds = self._output_gradient(s.transpose(0, 2, 1).reshape(-1, HID), w.reshape(-1), grad)
+                ds = np.ascontiguousarray(ds.reshape(len(w), lanes, HID).transpose(0, 2, 1))
+                z, r, c = gates[:, :HID], gates[:, HID : 2 * HID], gates[:, 2 * HID :]
+                # the factors of a state's gradient for the two gates, the gated state and the candidate, for all steps at once
+                by = np.empty((len(w), 4, HID, lanes), np.float32)
+                by[:, 3] = (1 - z) * (1 - c * c)
+                by[:, 2] = by[:, 3] * r
+                by[:, 1] = by[:, 2] * hm * (1 - r)
+                by[:, 0] = (h0 - c) * z * (1 - z)
+                back, dh = z * go, np.zeros((HID, lanes), np.float32)
                 for i in range(len(w) - 1, -1, -1):
-                    h0, z, r, m, c = keep[i]
-                    dh = dh + ds[i]
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz, dr = dh * (h0 - c) * z * (1 - z), dc * m * r * (1 - r)
-                    dg[i] = np.concatenate([dz, dr, dc], axis=1)
-                    du = np.concatenate([dz, dr, dc * r], axis=1)
-                    g["u"] += h0.T @ du
-                    dh = np.where((x[i] == END)[:, None], 0, dh * z + du @ p["u"].T)
-                dg, x = dg.reshape(-1, 3 * HID), x.reshape(-1)
-                g["wx"], g["bx"], g["emb"] = p["emb"][x].T @ dg, dg.sum(axis=0), np.zeros_like(p["emb"])
-                np.add.at(g["emb"], x, dg @ p["wx"].T)
+                    dh += ds[i]
+                    by[i] *= dh
+                    dh *= back[i]
+                    du = p["u"] @ by[i, :3].reshape(3 * HID, lanes)
+                    du *= go[i]
+                    dh += du
+                np.sum(h0 @ by[:, :3].reshape(len(w), 3 * HID, lanes).transpose(0, 2, 1), axis=0, out=grad["u"])
+                dg = by[:, [0, 1, 3]].reshape(len(w), 3 * HID, lanes)
+                np.sum(p["emb"][x].transpose(0, 2, 1) @ dg.transpose(0, 2, 1), axis=0, out=grad["wx"])
+                np.sum(dg, axis=(0, 2), out=grad["bx"])
+                grad["emb"][...] = 0
+                grad["emb"][own] = np.add.reduceat((p["wx"] @ dg).transpose(0, 2, 1).reshape(-1, EMB)[at], first, axis=0)
                 n += 1
                 now = rate * (1 - 0.8 * (turn * long + t) / (passes * long))
-                for k, v in g.items():
-                    m1[k] += 0.1 * (v - m1[k])
-                    m2[k] += 0.01 * (v * v - m2[k])
-                    p[k] -= now * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.99**n)) + 1e-8)
-
-    def _output_gradient(self, h, words) -> dict:
-        p, cls, n = self.p, self.cls[words], np.float32(len(words))
-        logit = h @ p["wc"] + p["bc"]
-        e = np.exp(logit - logit.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        e[np.arange(len(h)), cls] -= 1
-        e /= n
-        g = {"wc": h.T @ e, "bc": e.sum(axis=0), "h": e @ p["wc"].T, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.edges)))
-        for k in range(2, len(self.edges) - 1):
-            at, a, b = order[ends[k] : ends[k + 1]], self.edges[k], self.edges[k + 1]
-            if len(at) and b - a > 1:
-                logit = h[at] @ p["ww"][a:b].T + p["bw"][a:b]
-                e = np.exp(logit - logit.max(axis=1, keepdims=True))
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(at)), words[at] - a] -= 1
-                e /= n
-                g["ww"][a:b], g["bw"][a:b] = e.T @ h[at], e.sum(axis=0)
-                g["h"][at] += e @ p["ww"][a:b]
-        return g
+                # m1, m2: running means of the gradient and of its square
+                np.subtract(flat_g, m1, out=one)
+                one *= 0.1
+                m1 += one
+                np.multiply(flat_g, flat_g, out=two)
+                two -= m2
+                two *= 0.01
+                m2 += two
+                np.multiply(m2, 1 / (1 - 0.99**n), out=two)
+                np.sqrt(two, out=two)
+                two += 1e-8
+                np.divide(m1, two, out=one)
+                one *= now / (1 - 0.9**n)
+                flat_p -= one
+        self.p = {k: v.copy() for k, v in p.items()}
+
+    def _output_gradient(self, h: np.ndarray, words: np.ndarray, g: dict) -> np.ndarray:
+        """That of the states; those of the output's weights go into g."""
+        p, order, each, n = self.p, by_word(words), np.float32(1 / len(words)), len(words)
+        words, row = words[order], np.arange(n)
+        hs = np.concatenate([h[order], np.ones((n, 1), np.float32)], axis=1)  # the last column meets the biases
+        ht, cls = np.ascontiguousarray(hs.T), self.cls[words]
+        e = np.concatenate([p["wc"], p["bc"][None]]).T @ ht
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        e *= each / e.sum(axis=0)
+        e[cls, row] -= each
+        both = hs.T @ e.T
+        g["wc"][...], g["bc"][...] = both[:-1], both[-1]
+        back = e.T @ p["wc"].T
+        # words within their classes: a block for each class, one after the other in one buffer
+        ww = np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+        both, size, ends = np.zeros_like(ww), np.diff(self.edges), np.searchsorted(words, self.edges)
+        some = np.diff(ends)
+        cells = np.where((np.arange(len(size)) >= 2) & (size > 1), size * some, 0)
+        start = np.cumsum(cells) - cells
+        flat = np.empty(int(cells.sum()), np.float32)
+        blocks = [(flat[start[k] : start[k] + cells[k]].reshape(size[k], some[k]), slice(ends[k], ends[k + 1]), slice(self.edges[k], self.edges[k + 1])) for k in np.flatnonzero(cells)]
+        for e, at, own in blocks:
+            np.matmul(ww[own], ht[:, at], out=e)
+        if len(flat) and max(flat.max(), -flat.min()) > 60:
+            for e, _, _ in blocks:
+                e -= e.max(axis=0)
+        np.exp(flat, out=flat)
+        for e, _, _ in blocks:
+            e *= each / e.sum(axis=0)
+        flat[(start[cls] + (words - self.edges[cls]) * some[cls] + row - ends[cls])[cells[cls] > 0]] -= each
+        for e, at, own in blocks:
+            np.matmul(e, hs[at], out=both[own])
+            back[at] += e.T @ p["ww"][own]
+        g["ww"][...], g["bw"][...] = both[:, :-1], both[:, -1]
+        out = np.empty_like(back)
+        out[order] = back
+        return out
 
 
 class Scorer:
@@ -235,32 +314,40 @@ class Scorer:
         return np.where((ids < 0) | (ids >= self.words), REST, ids)
 
 
-def learn_more(scorer: Scorer, rows: DataFrame, share: int, chars_a_part: int = 4_000_000, rate: float = 0.002) -> None:
-    """Train the network on the rows (h, text) whose hash falls into one part of `share`, repeated rows once.
+def learn_more(scorer: Scorer, rows: DataFrame, share: int = 1, chars_a_part: int = 4_000_000, rate: float = 0.002) -> None:
+    """Train the network on all rows (h, text), or on those whose hash falls into one part of `share`, repeated rows once.
 
-    Parts hold about chars_a_part characters, or one longer document. Of each only the weights come back, as sums
-    by place, so the driver gets one network however many parts there are.
+    Parts hold about chars_a_part characters, or one longer document; their texts are moved as the network's words.
+    Of each only the weights come back, as sums by place, so the driver gets one network however many parts there are.
     """
-    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0)
+    if share > 1:
+        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0)
     parts = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chars_a_part)
     if not parts:
         return
     box = rows.sparkSession.sparkContext.broadcast(scorer)
     order = sorted(scorer.net.p)
 
+    def encode(batches):
+        import pyarrow as pa
+
+        s = box.value
+        for b in batches:
+            ids = [s.for_net(s.ids(tokens_of(t.as_py()))).astype("<u2").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
+
     def run(table):
         import pyarrow as pa
 
-        s, by = box.value, np.argsort(table.column("h").to_numpy())
-        net = s.net.copy()
-        docs = [s.for_net(s.ids(tokens_of(t.as_py()))) for t in table.column("text").take(pa.array(by))]
-        n = sum(map(len, docs))
+        by = np.unique(table.column("h").to_numpy(), return_index=True)[1]
+        docs = [np.frombuffer(i.as_py(), "<u2") for i in table.column("ids").take(pa.array(by))]
+        net, n = box.value.net.copy(), sum(map(len, docs))
         net.train(docs, lanes=128, passes=1, rate=rate)
         flat = np.concatenate([*(net.p[k].ravel() for k in order), [1]]).astype(float) * n
         give_back()
         return pa.table({"slot": pa.array(np.arange(len(flat)), pa.int32()), "value": flat})
 
-    dealt = rows.dropDuplicates(["h"]).withColumn("part", F.pmod("h", F.lit(parts)))
+    dealt = through(rows.select("h", "text"), encode, "h long, ids binary").withColumn("part", F.pmod("h", F.lit(parts))).repartition(parts, "part")
     sums = cut(dealt.groupBy("part").applyInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")), "lm-weights")
     flat = sums.toPandas().sort_values("slot")["value"].to_numpy()
     box.unpersist()
@@ -269,10 +356,10 @@ def learn_more(scorer: Scorer, rows: DataFrame, share: int, chars_a_part: int =
     scorer.net.p = {k: w.reshape(scorer.net.p[k].shape) for k, w in zip(order, np.split(flat, ends[:-1]))}
 
 
-def fit(docs: DataFrame, counts: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", most_top: int = 200_000, most_docs: int = 3000, most_chars: int = 20_000, share: int = 8) -> Scorer:
+def fit(docs: DataFrame, counts: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", most_top: int = 200_000, most_docs: int = 3000, most_chars: int = 20_000, share: int = 1) -> Scorer:
     """The network starts from about `most_docs` training documents of up to `most_chars` characters, those
-    whose hash falls into one part of so many, and goes on with one in `share` of all training documents; the
-    same ones each time, and repeated rows once. Without a share (0) it stays with the first."""
+    whose hash falls into one part of so many, and goes on with all training documents, whole; repeated rows
+    once. With a `share` above 1 it goes on with one in so many, the same ones each time, and with 0 with none."""
     n = counts.where("n > 0").agg(F.sum("n"), F.count("*")).first()
     top = [(bytes(r.token), r.n) for r in commonest(counts, "n_all", most_top).select("token", "n").collect()]
     scorer = Scorer(top, n[0] or 0, n[1])

@@ -586,3 +586,18 @@ def test_lm_learns_more_from_a_share_of_all_documents(spark, docs, odd):
     own = [start.for_net(start.ids(lm.tokens_of(r.text))) for r in docs.collect()]
     assert all_.net.score(own).sum() > start.net.score(own).sum() and one.net.score(own).sum() > start.net.score(own).sum()
     assert not np.array_equal(start.net.p["emb"], all_.net.p["emb"])
+
+
+def test_lm_learns_from_every_training_document(spark, docs, odd):
+    rows = docs.unionByName(odd.select(*docs.columns)).unionByName(docs.where("doc_id = 1"))
+    counts = lm.count(rows, F.lit(True)).persist()
+    got, want = lm.fit(rows, counts, F.lit(True), most_docs=50), lm.fit(rows, counts, F.lit(True), most_docs=50, share=0)
+    lm.learn_more(want, rows.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "text"), 1)
+    assert all(np.allclose(w, want.net.p[k], atol=1e-5) for k, w in got.net.p.items())
+
+
+def test_lm_training_leaves_out_no_word():
+    nets = [lm.Net(np.ones(50)) for _ in range(2)]
+    for net, last in zip(nets, (7, 30)):
+        net.train([np.array([5] * 128 + [last])], passes=1)
+    assert not np.array_equal(nets[0].p["bw"], nets[1].p["bw"])
