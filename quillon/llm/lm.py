@@ -19,6 +19,7 @@ table gives no rows; without training documents all tokens are unseen and the sc
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,8 @@ def count(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
 
         def out(n, rest):
-            keys = list(rest.keys() | n.keys())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([n[k] for k in keys], pa.int64()), pa.array([n[k] + rest[k] for k in keys], pa.int64())], ["token", "n", "n_all"])
+            known, other = (np.fromiter(c.values(), np.int64, len(c)) for c in (n, rest))
+            return pa.RecordBatch.from_arrays([pa.array([*n, *rest], pa.binary()), pa.array(np.append(known, 0 * other)), pa.array(np.append(known, other))], ["token", "n", "n_all"])
 
         both = (Counter(), Counter())
         for b in batches:
@@ -84,12 +85,15 @@ def by_word(words: np.ndarray) -> np.ndarray:
 
 
 def log_softmax(w: np.ndarray, b: np.ndarray, h: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Over w's rows for each column of h, that of its own row."""
-    e = w @ h
-    e += b[:, None]
-    e -= e.max(axis=0)
-    of = e[own, np.arange(h.shape[1])]
-    return of - np.log(np.exp(e, out=e).sum(axis=0))
+    """Over w's rows for each column of h, that of its own row; so many columns at a time as stay near the processor."""
+    out = np.empty(len(own), np.float32)
+    for lo in range(0, len(own), 4096):
+        e = w @ h[:, lo : lo + 4096]
+        e += b[:, None]
+        e -= e.max(axis=0)
+        of = e[own[lo : lo + 4096], np.arange(e.shape[1])]
+        out[lo : lo + 4096] = of - np.log(np.exp(e, out=e).sum(axis=0))
+    return out
 
 
 class Net:
@@ -209,26 +213,27 @@ class Net:
                 ds = self._output_gradient(s.transpose(0, 2, 1).reshape(-1, HID), w.reshape(-1), grad)
                 ds = np.ascontiguousarray(ds.reshape(len(w), lanes, HID).transpose(0, 2, 1))
                 z, r, c = gates[:, :HID], gates[:, HID : 2 * HID], gates[:, 2 * HID :]
-                # the factors of a state's gradient for the two gates, the gated state and the candidate, for all steps at once
+                # the factors of a state's gradient for the gated state, the two gates and the candidate, for all steps at once
                 by = np.empty((len(w), 4, HID, lanes), np.float32)
-                by[:, 3] = (1 - z) * (1 - c * c)
-                by[:, 2] = by[:, 3] * r
-                by[:, 1] = by[:, 2] * hm * (1 - r)
-                by[:, 0] = (h0 - c) * z * (1 - z)
-                back, dh = z * go, np.zeros((HID, lanes), np.float32)
+                np.multiply(c, c, out=by[:, 3])
+                by[:, 3] = (1 - by[:, 3]) * (1 - z)
+                np.multiply(by[:, 3], r, out=by[:, 0])
+                by[:, 2] = by[:, 0] * hm * (1 - r)
+                by[:, 1] = (h0 - c) * z * (1 - z)
+                to_state, to_word = by[:, :3].reshape(len(w), 3 * HID, lanes), by[:, 1:].reshape(len(w), 3 * HID, lanes)
+                back, dh, u = z * go, np.zeros((HID, lanes), np.float32), np.roll(p["u"], HID, axis=1)
                 for i in range(len(w) - 1, -1, -1):
                     dh += ds[i]
                     by[i] *= dh
                     dh *= back[i]
-                    du = p["u"] @ by[i, :3].reshape(3 * HID, lanes)
+                    du = u @ to_state[i]
                     du *= go[i]
                     dh += du
-                np.sum(h0 @ by[:, :3].reshape(len(w), 3 * HID, lanes).transpose(0, 2, 1), axis=0, out=grad["u"])
-                dg = by[:, [0, 1, 3]].reshape(len(w), 3 * HID, lanes)
-                np.sum(p["emb"][x].transpose(0, 2, 1) @ dg.transpose(0, 2, 1), axis=0, out=grad["wx"])
-                np.sum(dg, axis=(0, 2), out=grad["bx"])
+                grad["u"][...] = np.roll((h0 @ to_state.transpose(0, 2, 1)).sum(axis=0), -HID, axis=1)
+                np.sum(p["emb"][x].transpose(0, 2, 1) @ to_word.transpose(0, 2, 1), axis=0, out=grad["wx"])
+                np.sum(to_word, axis=(0, 2), out=grad["bx"])
                 grad["emb"][...] = 0
-                grad["emb"][own] = np.add.reduceat((p["wx"] @ dg).transpose(0, 2, 1).reshape(-1, EMB)[at], first, axis=0)
+                grad["emb"][own] = np.add.reduceat((p["wx"] @ to_word).transpose(0, 2, 1).reshape(-1, EMB)[at], first, axis=0)
                 n += 1
                 now = rate * (1 - 0.8 * (turn * long + t) / (passes * long))
                 # m1, m2: running means of the gradient and of its square
@@ -307,47 +312,54 @@ class Scorer:
     def ids(self, tokens: list[bytes]) -> np.ndarray:
         """Place among the commonest tokens or -1; the last is the end."""
         get = self.slot.get
-        out = np.fromiter((get(t, -1) for t in tokens), np.int32, len(tokens))
+        out = np.fromiter(map(get, tokens, repeat(-1)), np.int32, len(tokens))
         return np.append(out, np.int32(END))
 
     def for_net(self, ids: np.ndarray) -> np.ndarray:
         return np.where((ids < 0) | (ids >= self.words), REST, ids)
 
+    def packed(self, ids: np.ndarray) -> bytes:
+        """The network's words in 16 bits each."""
+        return self.for_net(ids).astype("<u2").tobytes()
+
 
 def learn_more(scorer: Scorer, rows: DataFrame, share: int = 1, chars_a_part: int = 4_000_000, rate: float = 0.002) -> None:
     """Train the network on all rows (h, text), or on those whose hash falls into one part of `share`, repeated rows once.
 
-    Parts hold about chars_a_part characters, or one longer document; their texts are moved as the network's words.
+    Parts hold about chars_a_part characters, or one longer document; their texts are moved as the network's words,
+    and rows can hold these already (h, chars, ids, as `encode` gives them).
     Of each only the weights come back, as sums by place, so the driver gets one network however many parts there are.
     """
     if share > 1:
         rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0)
-    parts = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chars_a_part)
+    parts = -(-(rows.agg(F.sum("chars" if "ids" in rows.columns else F.length("text"))).first()[0] or 0) // chars_a_part)
     if not parts:
         return
-    box = rows.sparkSession.sparkContext.broadcast(scorer)
-    order = sorted(scorer.net.p)
+    context, order = rows.sparkSession.sparkContext, sorted(scorer.net.p)
+    box = context.broadcast(scorer.net)
+    if "ids" not in rows.columns:
+        words = context.broadcast(scorer)
 
-    def encode(batches):
-        import pyarrow as pa
+        def to_words(batches):
+            import pyarrow as pa
 
-        s = box.value
-        for b in batches:
-            ids = [s.for_net(s.ids(tokens_of(t.as_py()))).astype("<u2").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words.value.packed(words.value.ids(tokens_of(t.as_py()))) for t in b.column(1)], pa.binary())], ["h", "ids"])
+
+        rows = through(rows.select("h", "text"), to_words, "h long, ids binary")
 
     def run(table):
         import pyarrow as pa
 
         by = np.unique(table.column("h").to_numpy(), return_index=True)[1]
         docs = [np.frombuffer(i.as_py(), "<u2") for i in table.column("ids").take(pa.array(by))]
-        net, n = box.value.net.copy(), sum(map(len, docs))
+        net, n = box.value.copy(), sum(map(len, docs))
         net.train(docs, lanes=128, passes=1, rate=rate)
         flat = np.concatenate([*(net.p[k].ravel() for k in order), [1]]).astype(float) * n
         give_back()
         return pa.table({"slot": pa.array(np.arange(len(flat)), pa.int32()), "value": flat})
 
-    dealt = through(rows.select("h", "text"), encode, "h long, ids binary").withColumn("part", F.pmod("h", F.lit(parts))).repartition(parts, "part")
+    dealt = rows.select("h", "ids", F.pmod("h", F.lit(parts)).alias("part")).repartition(parts, "part")
     sums = cut(dealt.groupBy("part").applyInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")), "lm-weights")
     flat = sums.toPandas().sort_values("slot")["value"].to_numpy()
     box.unpersist()
@@ -374,53 +386,83 @@ def fit(docs: DataFrame, counts: DataFrame, learn: Column, id_col: str = "doc_id
     return scorer
 
 
-PART = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
+ROWS = "doc_id long, held_out boolean, learn boolean, h long, chars long, n_tokens long, n_known long, base double, score double, rare array<binary>, ids binary"
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def encode(docs: DataFrame, scorer: Scorer, held_out: Column, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document, written once: its network's words, what the counts alone say of it, and its tokens that are
+    not among the commonest."""
+    box = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        import pyarrow as pa
+
+        s = box.value
+        log = np.log10(s.counts + 0.1)
+        for b in batches:
+            rows = []
+            for text in b.column(1):
+                t = tokens_of(text.as_py())
+                i = s.ids(t)
+                seen = i[i >= 0]
+                tail = seen[seen >= s.words]
+                base = float(log[seen].sum()) - len(seen) * np.log10(s.base_bottom)
+                shared = float(log[tail].sum()) - len(tail) * np.log10(s.rest_bottom) if s.net else base
+                rows.append((len(i), int(s.known[seen].sum()), base, shared, [t[j] for j in np.flatnonzero(i < 0)], s.packed(i)))
+            n, known, base, shared, rare, ids = zip(*rows) if rows else [()] * 6
+            new = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(shared, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *new], names(ROWS))
+
+    rows = id_text(docs, id_col, text_col, held_out=held_out, learn=F.coalesce(learn, F.lit(False)))
+    rows = rows.select("doc_id", "text", "held_out", "learn", F.xxhash64("doc_id", "text").alias("h"), F.length("text").cast("long").alias("chars"))
+    return cut(through(rows, run, ROWS).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
 
 
 def score(docs: DataFrame, counts: DataFrame, scorer: Scorer, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: the columns of the contract."""
-    box = docs.sparkSession.sparkContext.broadcast(scorer)
+    return score_rows(encode(docs, scorer, held_out, F.lit(False), id_col, text_col), counts, scorer)
+
+
+def score_rows(rows: DataFrame, counts: DataFrame, scorer: Scorer) -> DataFrame:
+    """The columns of the contract for the rows of `encode`."""
+    box = rows.sparkSession.sparkContext.broadcast(scorer.net)
 
     def run(batches):
         import pyarrow as pa
 
         from quillon.llm.tokens import chunks
 
-        s = box.value
-        log = np.log10(s.counts + 0.1)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts, 6_000_000):
-                ids, rows = [], []
-                for text in texts[lo:hi]:
-                    t = tokens_of(text)
-                    i = s.ids(t)
-                    seen = i[i >= 0]
-                    rest = int((seen >= s.words).sum())
-                    rare = [t[j] for j in np.flatnonzero(i < 0)]
-                    base = float(log[seen].sum()) - len(seen) * np.log10(s.base_bottom)
-                    shared = float(log[seen[seen >= s.words]].sum()) - rest * np.log10(s.rest_bottom)
-                    rows.append((len(i), int(s.known[seen].sum()), base, shared if s.net else base, rare))
-                    ids.append(s.for_net(i))
-                net = s.net.score(ids) / np.log(10) if s.net else np.zeros(hi - lo)
-                n, known, base, shared, rare = zip(*rows)
+            docs = [i.as_py() for i in b.column("ids")]
+            for lo, hi in chunks(docs, 1_300_000):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(shared) + net), pa.array(rare, pa.list_(pa.binary()))], [x.split()[0] for x in PART.split(", ")])
+                net = box.value.score([np.frombuffer(i, "<u2") for i in docs[lo:hi]]) / np.log(10) if box.value else 0
+                all_ = part.column("score").to_numpy() + net
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(all_)], part.schema.names[:-1])
 
-    rows = through(id_text(docs, id_col, text_col).select("doc_id", "text", held_out.alias("held_out")), run, PART)
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    keep = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    scored = through(rows.select(*names(keep), "ids"), run, keep)
     # only the tokens that are not among the commonest meet the whole table
     rare = rows.select("row", F.explode("rare").alias("token")).join(counts.select("token", "n"), "token", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.groupBy("row").agg(F.count("*").alias("r"), F.sum((n > 0).cast("long")).alias("r_known"), F.sum(F.log10(n + 0.1)).alias("r_log"))
     rest = scorer.rest_bottom if scorer.net else scorer.base_bottom
     bottom = lambda x: F.coalesce(F.col("r_log") - F.col("r") * F.lit(float(np.log10(x))), F.lit(0.0))
-    return rows.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(scorer.n).cast("long").alias("train_tokens"),
         (F.col("base") + bottom(scorer.base_bottom)).alias("base_score"), (F.col("score") + bottom(rest)).alias("score"),
     )
 
 
-def run(docs: DataFrame, learn: Column, held_out: Column, **bounds) -> DataFrame:
+def run(docs: DataFrame, learn: Column, held_out: Column, share: int = 1, **bounds) -> DataFrame:
+    """As `fit` and `score`, but texts are cut into tokens once for both."""
     counts = cut(count(docs, learn), "lm-counts")
-    return score(docs, counts, fit(docs, counts, learn, **bounds), held_out)
+    scorer = fit(docs, counts, learn, share=0, **bounds)
+    rows = encode(docs, scorer, held_out, learn)
+    if scorer.net and share:
+        learn_more(scorer, rows.where("learn and chars is not null"), share)
+    return score_rows(rows, counts, scorer)
