@@ -601,3 +601,36 @@ def test_lm_training_leaves_out_no_word():
     for net, last in zip(nets, (7, 30)):
         net.train([np.array([5] * 128 + [last])], passes=1)
     assert not np.array_equal(nets[0].p["bw"], nets[1].p["bw"])
+
+
+def test_lm_reads_each_text_twice(spark, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = docs.mapInArrow(through, docs.schema)
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    scored = lm.run(rows, ~held, held, most_docs=50)
+    assert scored.count() == docs.count() and seen.value <= 2 * docs.count()  # once to count, once to cut up
+
+
+def test_lm_cuts_texts_up_as_one_by_one():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "  a  B\tb ", "\x1c x\x85y", "Ä ä A b", "a\x0bb\x0cC\r\nd", "one", *(chr(i) + "a" + chr(i) for i in range(1, 256))]
+    for some in (texts, texts[3:4], texts[:3], []):
+        tokens, codes, size = lm.cut_up(pa.array(some, pa.string()))
+        of = tokens.to_pylist()
+        ends = np.append(0, np.cumsum(size))
+        assert [[of[c] for c in codes[lo:hi]] for lo, hi in zip(ends[:-1], ends[1:])] == [lm.tokens_of(t) for t in some]
+
+
+def test_lm_scores_documents_of_one_lane_apart():
+    rng = np.random.default_rng(2)
+    net = lm.Net(np.arange(60, 0, -1.0))
+    docs = [np.append(rng.integers(2, 60, k), lm.END) for k in rng.integers(0, 40, 300)] + [np.append(rng.integers(2, 60, 700), lm.END)]
+    net.train(docs[:50], passes=1)
+    assert net.score(docs) == pytest.approx([net.score([d])[0] for d in docs], rel=1e-5)
