@@ -19,6 +19,7 @@ table gives no rows; without training documents all tokens are unseen and the sc
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from itertools import repeat
 
@@ -305,19 +306,17 @@ class Net:
                 grad["emb"][own] = np.add.reduceat(to_word[0][at], first, axis=0)
                 n += 1
                 now = rate * (1 - 0.8 * (turn * long + t) / (passes * long))
-                # m1, m2: running means of the gradient and of its square; so many weights at a time as stay near the processor
-                to = np.sqrt(1 - 0.99**n)
-                by, least = np.float32(now * to / (1 - 0.9**n)), np.float32(1e-8 * to)
+                # m1, m2: running sums of the gradient and of its square; so many weights at a time as stay near the processor
+                to = np.sqrt(0.01 / (1 - 0.99**n))
+                by, least = np.float32(now * 0.1 / (1 - 0.9**n) / to), np.float32(1e-8 / to)
                 for lo in range(0, len(flat_p), len(two)):
                     fp, fg, f1, f2 = (f[lo : lo + len(two)] for f in (flat_p, flat_g, m1, m2))
                     some = two[: len(fp)]
+                    f1 *= 0.9
+                    f1 += fg
                     np.multiply(fg, fg, out=some)
-                    some -= f2
-                    some *= 0.01
+                    f2 *= 0.99
                     f2 += some
-                    fg -= f1
-                    fg *= 0.1
-                    f1 += fg
                     np.sqrt(f2, out=some)
                     some += least
                     np.divide(f1, some, out=some)
@@ -414,7 +413,8 @@ def learn_more(scorer: Scorer, rows: DataFrame, share: int = 1, chars_a_part: in
 
     Parts hold about chars_a_part characters, or one longer document; their texts are moved as the network's words,
     and rows can hold these already (h, chars, ids, as `encode` gives them).
-    Of each only the weights come back, as sums by place, so the driver gets one network however many parts there are.
+    Of each only the weights come back, as one row; as many tasks as the square root of the parts add these up one by one,
+    so the driver gets no more networks than that.
     """
     if share > 1:
         rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0)
@@ -443,11 +443,21 @@ def learn_more(scorer: Scorer, rows: DataFrame, share: int = 1, chars_a_part: in
         net.train(docs, lanes=128, passes=1, rate=rate)
         flat = np.concatenate([*(net.p[k].ravel() for k in order), [1]]).astype(float) * n
         give_back()
-        return pa.table({"slot": pa.array(np.arange(len(flat)), pa.int32()), "value": flat})
+        return pa.table({"part": table.column("part")[:1], "weights": pa.array([flat.tobytes()], pa.binary())})
+
+    def added(batches):
+        import pyarrow as pa
+
+        total = 0
+        for b in batches:
+            for w in b.column(0):
+                total = total + np.frombuffer(w.as_buffer())
+        if np.size(total) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["weights"])
 
     dealt = rows.select("h", "ids", F.pmod("h", F.lit(parts)).alias("part")).repartition(parts, "part")
-    sums = cut(dealt.groupBy("part").applyInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")), "lm-weights")
-    flat = sums.toPandas().sort_values("slot")["value"].to_numpy()
+    learned = dealt.groupBy("part").applyInArrow(run, "part long, weights binary").repartition(1 + math.isqrt(parts), "part")
+    flat = sum(np.frombuffer(r.weights) for r in cut(through(learned.select("weights"), added, "weights binary"), "lm-weights").collect())
     box.unpersist()
     flat = (flat[:-1] / flat[-1]).astype(np.float32)
     ends = np.cumsum([scorer.net.p[k].size for k in order])
