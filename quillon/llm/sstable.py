@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, id_text, new_path, through
-from quillon.llm.tokens import chunks, encoder
+from quillon.llm.tokens import encoded, encoder
 
 MAGIC = 0x514C4E5353543031
 FOOTER = struct.Struct("<QQQQQQQ")  # filter place, size; index place, size; documents, tokens, magic
@@ -194,13 +194,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
         name, made, writer, sink = f"{base}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", None, None, None
         enc = encoder(vocabulary)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            ids = b.column(0).to_pylist()
             if ids and writer is None:
                 sink = fs.open_output_stream(name)
                 writer = Writer(sink)
-            for lo, hi in chunks(texts):
-                for doc_id, got in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                    writer.add(doc_id, np.append(got, end_id))
+            for lo, hi, got, at in encoded(enc, b.column(1), end_id):
+                for doc_id, start, end in zip(ids[lo:hi], at[:-1].tolist(), at[1:].tolist()):
+                    writer.add(doc_id, got[start:end])
         enc.rest()
         if writer:
             made = writer.close()

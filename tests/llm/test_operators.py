@@ -1,12 +1,14 @@
 import hashlib
 import math
 import re
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +158,37 @@ def test_tokens_equal_the_library():
             assert got.tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_an_arrow_column_equal_the_library():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(VOCABULARY), np.random.default_rng(7)
+    even = ["a", "Z", "'", "'s", "'re", "'ll", "'l", "s", "e", "l", " ", "  ", "\n", "\t", "\r", "1", "23", ".", "!!", "é", "×", "÷", "Ā", "ſ", "\xad", "ª", "µ", "¿"]
+    odd = ["ƀ", "²", "\xa0", "日", "\x00", "\x85", "\u2003", "<|endoftext|>", "<|endof", "text|>"]
+    encoders = [tokens.Encoder(VOCABULARY, most=most) for most in (20, 400_000, 400_000)]
+    encoders[2].joined = False
+    for i in range(150):
+        some = even if i % 3 else even + odd
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(some, int(rng.integers(0, 20)))) for _ in range(int(rng.integers(0, 40)))]
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        column = pa.array([None, "xx '", *texts, "s yy"], (pa.string(), pa.large_string())[i % 2]).slice(2, len(texts))
+        for own in encoders:
+            flat, at = own.column(column)
+            assert [flat[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:])] == want
+        assert [got[at[k] : at[k + 1]].tolist() for lo, hi, got, at in tokens.encoded(encoders[0], column, 7, 50) for k in range(hi - lo)] == [w + [7] for w in want]
+
+
+def test_tokens_take_no_call_for_each_text():
+    """The work of a text is done by kernels over many texts: about ten calls for each of them were made before."""
+    own, texts, calls = tokens.Encoder(VOCABULARY), [f"Text {i % 10}, it's like others.\n" for i in range(1000)], Counter()
+    own.encode(texts[:10])
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        own.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] < len(texts)
+
+
 def expected_ids(df, end):
     from tokenizers import Tokenizer
 
