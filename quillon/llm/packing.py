@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, id_text, through
-from quillon.llm.tokens import chunks, encoder
+from quillon.llm.tokens import encoded, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -36,13 +36,15 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = 1, most: int = 204
 
         enc = encoder(vocabulary)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
-                rows = []
-                for doc_id, got in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                    got = np.append(got, end_id).astype("<u4")
-                    rows += [(doc_id, s, min(most, len(got) - s), zlib.crc32(got[s : s + most].tobytes()), len(got)) for s in range(0, len(got), most)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in PIECES.split(", ")])
+            for lo, hi, got, at in encoded(enc, b.column(1), end_id):
+                n = np.diff(at)
+                many = -(-n // most)
+                start = most * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                length = np.minimum(most, np.repeat(n, many) - start)
+                place, raw = np.repeat(at[:-1], many) + start, memoryview(got.view(np.uint8))
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(place.tolist(), (place + length).tolist())]
+                ids = b.column(0).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(np.repeat(np.arange(hi - lo), many)))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (start, length, crc, np.repeat(n, many)))], [x.split()[0] for x in PIECES.split(", ")])
         enc.rest()
 
     return through(id_text(docs, id_col, text_col), run, PIECES)

@@ -247,6 +247,27 @@ def test_packing(docs, odd, none):
     assert packing.pack_documents(none, VOCABULARY).count() == 0
 
 
+def test_pieces_of_a_batch_take_few_calls(monkeypatch):
+    """Pieces are cut by kernels over a batch, with one checksum each: about twenty calls for each text were made before."""
+    monkeypatch.setattr(packing, "id_text", lambda docs, *a: docs)
+    monkeypatch.setattr(packing, "through", lambda docs, run, schema: (run, schema))
+    run, _ = packing.pieces_of(None, VOCABULARY, most=64)
+    texts = ["a b c " * (i % 7 * 30) if i % 5 else None for i in range(1000)]
+    batch, calls, got = pa.RecordBatch.from_arrays([pa.array([None, *range(999)], pa.int32()), pa.array(texts)], ["doc_id", "text"]), Counter(), []
+    list(run(iter([batch.slice(0, 10)])))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got += run(iter([batch, batch.slice(0, 0)]))
+    finally:
+        sys.setprofile(None)
+    expected, tok = [], tokens.Encoder(VOCABULARY).tok
+    for doc_id, t in zip(batch.column(0).to_pylist(), texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        expected += [(doc_id, s, len(ids[s : s + 64]), crc(ids[s : s + 64]), len(ids)) for s in range(0, len(ids), 64)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == expected and len(expected) > 2000
+    assert calls["c_call"] < 2 * len(expected)
+
+
 def test_packing_when_one_length_is_nearly_all(spark):
     rng = np.random.default_rng(9)
     for most in (2048, 700):  # full pieces, and a length of which two go into a sequence
