@@ -42,3 +42,13 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0 and rows.where("offset + length > 2048").count() == 0
+
+
+def test_stages_begin_with_heaps_given_back(spark):
+    """A full collection in the executors' JVM, here the session's own, before each stage."""
+    docs, beans = table(spark, SF, "documents").limit(0), spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if any(x in b.getName() for x in ("Old Gen", "MarkSweep"))]
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in full)
+        assert stage(spark, docs, SF).count() == 0
+        assert sum(b.getCollectionCount() for b in full) > before, name
